@@ -1 +1,44 @@
-"""."""
+"""Tokens, n-grams, vocabulary and counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from moodtide.functions.cleaning import clean_text
+from moodtide.functions.words import lower_tokens
+from moodtide.operators.features import all_ngrams, term_counts, vocabulary
+from moodtide.queries.base import clean_sql, ngrams_sql, query, tokens_sql
+from moodtide.sources.files import table
+
+
+def _tokens(spark, sf):
+    cleaned = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text_clean"))
+    return cleaned.select("doc_id", lower_tokens(F.col("text_clean")).alias("w"))
+
+
+def _terms(spark, sf):
+    return _tokens(spark, sf).select("doc_id", all_ngrams(F.col("w")).alias("c_words"))
+
+
+_TOKENS_SQL = f"(SELECT doc_id, {tokens_sql(clean_sql('text'))} AS w FROM documents)"
+_TERMS_SQL = f"(SELECT doc_id, unnest({ngrams_sql('w')}) AS term FROM {_TOKENS_SQL})"
+
+
+@query(
+    "ngrams",
+    f"SELECT doc_id, len(c)::BIGINT AS n_terms, array_to_string(c, '|') AS c_words FROM (SELECT doc_id, {ngrams_sql('w')} AS c FROM {_TOKENS_SQL})",
+)
+def ngrams_of_documents(spark, sf):
+    return _terms(spark, sf).select(
+        "doc_id", F.size("c_words").cast("bigint").alias("n_terms"), F.array_join("c_words", "|").alias("c_words")
+    )
+
+
+@query("vocab_topk", f"SELECT term, count(*) AS cnt FROM {_TERMS_SQL} GROUP BY term ORDER BY cnt DESC, term LIMIT 80000")
+def vocab_topk(spark, sf):
+    return vocabulary(_terms(spark, sf), "c_words")
+
+
+@query("term_counts", f"SELECT doc_id, term, count(*) AS cnt FROM {_TERMS_SQL} GROUP BY doc_id, term")
+def counts_per_document(spark, sf):
+    return term_counts(_terms(spark, sf), "doc_id", "c_words")
