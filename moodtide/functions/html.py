@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from moodtide.functions.binding import bind
+
 # One alternation, so whatever starts first in the text wins: a script that
 # holds "<!--" and a comment that holds "<script>" both end where they should.
 # A "<" that opens no tag name ("I <3 you", "a < b") is ordinary text.
@@ -39,22 +41,29 @@ def _character(code: Column) -> Column:
     return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(""))
 
 
+def _code_point(body: Column) -> Column:
+    """The number in "#65" or "#x41"."""
+    decimal = F.substr(body, F.lit(2)).try_cast("bigint")
+    # Longer digit strings overflow and cannot name a character anyway.
+    hexadecimal = F.when(F.length(body) <= 12, F.conv(F.substr(body, F.lit(3)), 16, 10).cast("bigint"))
+    return F.when(F.rlike(body, F.lit("^#[xX]")), hexadecimal).otherwise(decimal)
+
+
 def _decode_piece(names: Column):
+    """Decoder of one piece of a text that was cut at each "&"."""
+
     def decode(piece: Column, index: Column) -> Column:
-        reference = F.regexp_extract(piece, _REFERENCE, 0)
-        rest = F.substr(piece, F.length(reference) + 1)
-        body = F.rtrim(reference, F.lit(";"))
-        decimal = F.substr(body, F.lit(2)).try_cast("bigint")
-        # Longer digit strings overflow and cannot name a character anyway.
-        hexadecimal = F.when(F.length(body) <= 12, F.conv(F.substr(body, F.lit(3)), 16, 10).cast("bigint"))
-        code = F.when(F.rlike(body, F.lit("^#[xX]")), hexadecimal).otherwise(decimal)
-        named = F.try_element_at(names, body)
-        return (
-            F.when(index == 0, piece)
-            .when(F.startswith(body, F.lit("#")), F.concat(F.coalesce(_character(code), F.lit("")), rest))
-            .when(named.isNotNull(), F.concat(named, rest))
-            .otherwise(F.concat(F.lit("&"), piece))
-        )
+        def replaced(reference: Column) -> Column:
+            body = F.rtrim(reference, F.lit(";"))
+            rest = F.substr(piece, F.length(reference) + 1)
+            numeric = F.coalesce(bind(_code_point(body), _character), F.lit(""))
+            kept = F.concat(F.lit("&"), reference)
+            character = F.when(F.startswith(reference, F.lit("#")), numeric).otherwise(
+                F.coalesce(F.try_element_at(names, body), kept)
+            )
+            return F.concat(character, rest)
+
+        return F.when(index == 0, piece).otherwise(bind(F.regexp_extract(piece, _REFERENCE, 0), replaced))
 
     return decode
 

@@ -5,26 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodtide.functions.binding import bind
+
 # Fixed values, needed for equal results.
 VOCABULARY_SIZE = 80_000
 LONGEST_NGRAM = 3
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens joined by a space; none if there are fewer."""
+def _runs(tokens: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     runs = F.transform(starts, lambda start: F.array_join(F.slice(tokens, start, n), " "))
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """Runs of n tokens joined by a space; none if there are fewer."""
+    return bind(tokens, lambda bound: _runs(bound, n))
+
+
 def all_ngrams(tokens: Column, longest: int = LONGEST_NGRAM) -> Column:
     """1-grams, then 2-grams and so on, in one array."""
-    return F.concat(tokens, *[ngrams(tokens, n) for n in range(2, longest + 1)])
+    return bind(tokens, lambda bound: F.concat(bound, *[_runs(bound, n) for n in range(2, longest + 1)]))
+
+
+def _terms(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """One row per term.
+
+    The outer form is taken because the inner one makes the optimizer add a
+    filter on the array size, which is pushed down to the scan and computes
+    every array a second time.
+    """
+    return df.select(*keep, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
 
 
 def corpus_counts(df: DataFrame, terms_col: str) -> DataFrame:
     """Occurrences of each term in the corpus; combined before the shuffle, so hot terms stay cheap."""
-    return df.select(F.explode(terms_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
+    return _terms(df, F.col(terms_col)).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def vocabulary(df: DataFrame, terms_col: str, size: int = VOCABULARY_SIZE) -> DataFrame:
@@ -32,15 +48,11 @@ def vocabulary(df: DataFrame, terms_col: str, size: int = VOCABULARY_SIZE) -> Da
     return corpus_counts(df, terms_col).orderBy(F.desc("cnt"), "term").limit(size)
 
 
-def term_counts(df: DataFrame, id_col: str, terms_col: str) -> DataFrame:
-    """Occurrences of each term in each row.
+def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
+    """Occurrences of each term in each row; `terms` is an array expression over the row.
 
-    Rows are placed by id before they are exploded: the row is smaller than
-    its terms, and counting then needs no further shuffle.
+    Rows are placed by id before the expression is evaluated: a text is
+    smaller than its n-grams, and counting then needs no further shuffle.
     """
-    placed = df.select(id_col, terms_col).repartition(id_col)
-    return (
-        placed.select(id_col, F.explode(terms_col).alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    placed = _terms(df.repartition(id_col), terms, id_col)
+    return placed.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))

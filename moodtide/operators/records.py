@@ -35,9 +35,13 @@ def is_readable(value: Column) -> Column:
 
 
 def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Messages from JSON text or bytes; `valid` is false where a required field is absent."""
+    """Nested messages from JSON text or bytes; unreadable ones are left out.
+
+    The test sits in a one-element array, so each document is parsed once; a
+    filter would be pushed below the projection and parse it again.
+    """
     message = F.from_json(F.col(value_col).cast("string"), MESSAGE)
-    return raw.select(message.alias("m")).select("m.tweet", "m.job_config", _readable(F.col("m")).alias("valid"))
+    return raw.select(F.explode(F.filter(F.array(message), _readable)).alias("m")).select("m.tweet", "m.job_config")
 
 
 def decode_trigger(data: Column) -> Column:

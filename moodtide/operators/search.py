@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodtide.functions.binding import bind
 from moodtide.operators.sizing import broadcast_if_small, measure
 
 # Fixed values, needed for equal results.
@@ -65,11 +66,11 @@ def _grams(text: Column, size: int) -> Column:
 def _direct_matches(texts: DataFrame, phrases: list[str], text_col: str) -> DataFrame:
     """Test every phrase of a short list against each text, without a join."""
     listed = F.array(*[F.lit(phrase) for phrase in phrases]).cast("array<string>")
-    found = F.transform(
-        F.array(F.lower(F.col(text_col))),
+    found = bind(
+        F.lower(F.col(text_col)),
         lambda lowered: F.filter(listed, lambda phrase: F.contains(lowered, phrase)),
     )
-    return texts.select("*", F.explode(F.flatten(found)).alias("phrase"))
+    return texts.select("*", F.explode(found).alias("phrase"))
 
 
 def _anchored_matches(texts: DataFrame, phrases: DataFrame, text_col: str, id_col: str, gram_size: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from moodtide.functions.cleaning import NEGATIONS
 from moodtide.functions.words import NOT_WHITELISTED
-from moodtide.sources.files import table
+from moodtide.sources.files import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 # -- tweets: documents with mentions, links, negations and references put in front --------
 
 FIRST_TWEET_EPOCH = 1612257455  # 2021-02-02 09:17:35
@@ -47,7 +51,8 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" ISN'T &amp; awww yes <b>https://x.co/a?b=1 "),
         F.col("text"),
     )
-    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars", text.alias("text"), tweet_time().alias("datetime"))
+    rows = documents(spark, sf, "doc_id", "lang", "n_chars", "text")
+    return rows.withColumn("text", text).withColumn("datetime", tweet_time())
 
 
 def tweet_time():
@@ -72,11 +77,8 @@ TWEETS_SQL = f"""(
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with sentiment 0 or 4."""
     sentiment = (F.col("quality") * 4).alias("sentiment")
-    return (
-        table(spark, sf, "documents")
-        .select("doc_id", "text")
-        .join(table(spark, sf, "labels").select("doc_id", sentiment, "toxic"), "doc_id")
-    )
+    labels = table(spark, sf, "labels").select("doc_id", sentiment)
+    return documents(spark, sf, "doc_id", "text").join(labels, "doc_id")
 
 
 # -- search jobs: phrases from the benchmark items ----------------------------------------
@@ -222,12 +224,11 @@ def tokens_sql(text: str) -> str:
     return f"string_split({text}, ' ')"
 
 
-def ngrams_sql(tokens: str) -> str:
-    """1-, 2- and 3-grams of a list."""
-    runs = [tokens]
-    for n in (2, 3):
-        runs.append(
-            f"list_transform(range(1, greatest(len({tokens}) - {n - 2}, 1)::BIGINT), "
-            f"lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
-        )
-    return f"list_concat(list_concat({runs[0]}, {runs[1]}), {runs[2]})"
+def terms_sql(tokens: str) -> str:
+    """1-, 2- and 3-grams of (doc_id, w) rows, one per row with their place."""
+    placed = f"(SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM {tokens})"
+    ahead = f"""(SELECT doc_id, i, t, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3
+                 FROM {placed} WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+    return f"""(SELECT doc_id, i, 1 AS n, t AS term FROM {ahead}
+        UNION ALL SELECT doc_id, i, 2, t || ' ' || t2 FROM {ahead} WHERE t2 IS NOT NULL
+        UNION ALL SELECT doc_id, i, 3, t || ' ' || t2 || ' ' || t3 FROM {ahead} WHERE t3 IS NOT NULL)"""

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from moodtide.functions.cleaning import clean_text
 from moodtide.functions.words import lower_tokens
 from moodtide.operators.features import all_ngrams, term_counts, vocabulary
-from moodtide.queries.base import clean_sql, ngrams_sql, query, tokens_sql
+from moodtide.queries.base import clean_sql, documents, query, terms_sql, tokens_sql
 from moodtide.sources.files import table
 
 
 def _tokens(spark, sf):
-    cleaned = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text_clean"))
+    cleaned = documents(spark, sf, "doc_id", "text").select("doc_id", clean_text(F.col("text")).alias("text_clean"))
     return cleaned.select("doc_id", lower_tokens(F.col("text_clean")).alias("w"))
 
 
@@ -21,12 +21,12 @@ def _terms(spark, sf):
 
 
 _TOKENS_SQL = f"(SELECT doc_id, {tokens_sql(clean_sql('text'))} AS w FROM documents)"
-_TERMS_SQL = f"(SELECT doc_id, unnest({ngrams_sql('w')}) AS term FROM {_TOKENS_SQL})"
+_TERMS_SQL = terms_sql(_TOKENS_SQL)
 
 
 @query(
     "ngrams",
-    f"SELECT doc_id, len(c)::BIGINT AS n_terms, array_to_string(c, '|') AS c_words FROM (SELECT doc_id, {ngrams_sql('w')} AS c FROM {_TOKENS_SQL})",
+    f"SELECT doc_id, count(*) AS n_terms, string_agg(term, '|' ORDER BY n, i) AS c_words FROM {_TERMS_SQL} GROUP BY doc_id",
 )
 def ngrams_of_documents(spark, sf):
     return _terms(spark, sf).select(
@@ -41,4 +41,5 @@ def vocab_topk(spark, sf):
 
 @query("term_counts", f"SELECT doc_id, term, count(*) AS cnt FROM {_TERMS_SQL} GROUP BY doc_id, term")
 def counts_per_document(spark, sf):
-    return term_counts(_terms(spark, sf), "doc_id", "c_words")
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    return term_counts(texts, "doc_id", all_ngrams(lower_tokens(clean_text(F.col("text")))))

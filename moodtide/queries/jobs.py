@@ -18,7 +18,7 @@ from moodtide.operators.registry import (
 )
 from moodtide.operators.search import fan_out, in_language, match_phrases, search
 from moodtide.plans.collecting import collect_tweets, recent_events
-from moodtide.queries.base import EVENT_JOBS_SQL, JOBS_SQL, TWEETS_SQL, event_jobs, gate_words_sql, query, search_jobs, tweets
+from moodtide.queries.base import EVENT_JOBS_SQL, JOBS_SQL, TWEETS_SQL, documents, event_jobs, gate_words_sql, query, search_jobs, tweets
 from moodtide.sources.files import table
 
 _PHRASE = "that"
@@ -30,7 +30,7 @@ _PHRASE = "that"
         ORDER BY doc_id DESC LIMIT 100""",
 )
 def search_topn(spark, sf):
-    return search(table(spark, sf, "documents"), _PHRASE, ["doc_id"]).select("doc_id", "text")
+    return search(documents(spark, sf, "doc_id", "text", "lang"), _PHRASE, ["doc_id"]).select("doc_id", "text")
 
 
 @query(
@@ -38,7 +38,7 @@ def search_topn(spark, sf):
     f"SELECT doc_id, lang FROM documents WHERE lang = 'en' AND contains(lower(text), '{_PHRASE}')",
 )
 def lang_phrase(spark, sf):
-    found = in_language(table(spark, sf, "documents")).where(F.contains(F.lower("text"), F.lit(_PHRASE)))
+    found = in_language(documents(spark, sf, "doc_id", "text", "lang")).where(F.contains(F.lower("text"), F.lit(_PHRASE)))
     return found.select("doc_id", "lang")
 
 
@@ -49,13 +49,13 @@ _MATCHES_SQL = f"""
 
 @query("match_phrases", _MATCHES_SQL)
 def matches(spark, sf):
-    return match_phrases(table(spark, sf, "documents").select("doc_id", "text"), search_jobs(spark, sf)).select("doc_id", "phrase")
+    return match_phrases(documents(spark, sf, "doc_id", "text"), search_jobs(spark, sf)).select("doc_id", "phrase")
 
 
 @query("match_phrases_indexed", _MATCHES_SQL)
 def matches_indexed(spark, sf):
     """The way taken for many phrases: an equi-join on character runs."""
-    texts = table(spark, sf, "documents").select("doc_id", "text")
+    texts = documents(spark, sf, "doc_id", "text")
     return match_phrases(texts, search_jobs(spark, sf), direct_phrases=0).select("doc_id", "phrase")
 
 

@@ -11,7 +11,7 @@ from moodtide.operators.gate import observed_gate
 from moodtide.operators.metrics import accuracy, class_report, confusion, confusion_matrix
 from moodtide.operators.records import replace_tweet_text, result_lines, sentiment_rows
 from moodtide.operators.splits import recode_label, split_label
-from moodtide.queries.base import MESSAGES_SQL, TWEET_TIME_SQL, labelled, message_rows, query, tweet_time
+from moodtide.queries.base import MESSAGES_SQL, TWEET_TIME_SQL, documents, labelled, message_rows, query, tweet_time
 from moodtide.sources.files import table, typed_tweets
 
 
@@ -168,7 +168,7 @@ def first_n(spark, sf):
 )
 def array_ops(spark, sf):
     """Filter, index, slice and concatenate word arrays."""
-    rows = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    rows = documents(spark, sf, "doc_id", "text").select("doc_id", F.split("text", " ").alias("w"))
     middle = F.floor(F.size("w") / 2) + 1
     return rows.select(
         "doc_id",
@@ -234,7 +234,7 @@ def format_line(spark, sf):
 @query("gate_observed")
 def gate_observed(spark, sf):
     """Gate counts as a by-product of a write-free run over the documents."""
-    gated, before, after = observed_gate(table(spark, sf, "documents").select("doc_id", "text"))
+    gated, before, after = observed_gate(documents(spark, sf, "doc_id", "text"))
     gated.write.format("noop").mode("overwrite").save()
     counts = [("before_filtering", before.get["rows"]), ("after_filtering", after.get["rows"])]
     return spark.createDataFrame(counts, "stage string, n bigint")

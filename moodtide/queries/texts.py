@@ -14,6 +14,7 @@ from moodtide.operators.gate import STREAM_MIN_WORDS, content_gate, gate_counts
 from moodtide.queries.base import (
     TWEETS_SQL,
     clean_sql,
+    documents,
     gate_words_sql,
     html_text_sql,
     long_words_sql,
@@ -23,7 +24,7 @@ from moodtide.queries.base import (
     strip_links_sql,
     tweets,
 )
-from moodtide.sources.files import table
+from moodtide.sources.files import spread, table
 
 
 @query(
@@ -37,7 +38,7 @@ from moodtide.sources.files import table
 )
 def clean_by_lang(spark, sf):
     """Flagship: gate, clean, and count what is left per language."""
-    gated = content_gate(table(spark, sf, "documents").select("lang", "text"))
+    gated = content_gate(documents(spark, sf, "lang", "text"))
     cleaned = gated.select("lang", clean_text(F.col("text")).alias("text"))
     words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
     return cleaned.groupBy("lang").agg(
@@ -47,7 +48,7 @@ def clean_by_lang(spark, sf):
 
 @query("html_text", f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
 def html_text_of_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", html_text(F.col("html")).alias("text"))
 
 
 @query("strip_mentions_links", f"SELECT doc_id, {strip_links_sql('text')} AS text FROM {TWEETS_SQL}")
@@ -72,7 +73,7 @@ def clean_tweets(spark, sf):
 
 @query("clean_pages", f"SELECT page_id, {clean_sql('html')} AS text_clean FROM pages")
 def clean_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", clean_text(F.col("html")).alias("text_clean"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", clean_text(F.col("html")).alias("text_clean"))
 
 
 @query(
@@ -121,7 +122,7 @@ def second_clean_stemmed(spark, sf):
 @query("stem_words")
 def stems(spark, sf):
     """Stem counts of the English documents."""
-    english = table(spark, sf, "documents").where("lang = 'en'")
+    english = documents(spark, sf, "lang", "text").where("lang = 'en'")
     stemmed = english.select(stem_words(clean_text(F.col("text"))).alias("text"))
     return (
         stemmed.select(F.explode(F.split("text", " ")).alias("stem"))
@@ -156,12 +157,12 @@ def _gate_sql(min_words: int) -> str:
 
 @query("gate_batch", _gate_sql(5))
 def gate_batch(spark, sf):
-    return content_gate(table(spark, sf, "documents").select("doc_id", "text"))
+    return content_gate(documents(spark, sf, "doc_id", "text"))
 
 
 @query("gate_stream", _gate_sql(6))
 def gate_stream(spark, sf):
-    return content_gate(table(spark, sf, "documents").select("doc_id", "text"), min_words=STREAM_MIN_WORDS)
+    return content_gate(documents(spark, sf, "doc_id", "text"), min_words=STREAM_MIN_WORDS)
 
 
 @query(

@@ -20,6 +20,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Use more tasks for a table of few file splits, whose texts are costly to process.
+
+    A split is at least 4 MB, so no task gets less than about 1 MB.  A table
+    with as many splits as there are cores is left alone: no shuffle.
+    """
+    splits = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= cores else df.repartition(min(cores, splits * factor))
+
+
 def tweets_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Collected tweets with a header.
 

@@ -23,8 +23,7 @@ WINDOW = f"{WINDOW_SECONDS} seconds"
 
 def clean_messages(raw: DataFrame) -> DataFrame:
     """Parsed messages with their text cleaned; unreadable ones are left out."""
-    valid = parse_messages(raw).where("valid").drop("valid")
-    return replace_tweet_text(valid, clean_text(F.col("tweet.text")))
+    return replace_tweet_text(parse_messages(raw), clean_text(F.col("tweet.text")))
 
 
 def unreadable_messages(raw: DataFrame) -> DataFrame:
