@@ -99,9 +99,10 @@ def clean_csv(spark, sf):
     return sources.inferred_csv(spark, path)
 
 
-def _event_results(spark, sf):
+def _event_results(spark, sf, *keep):
     """Result rows of each user; errors have no time."""
     return table(spark, sf, "events").select(
+        *keep,
         F.col("user_id").alias("job_id"),
         F.when(F.col("event_type") != "error", F.col("ts")).alias("dt"),
         F.when(F.col("value") < 30, 0.0).otherwise(4.0).alias("prediction"),
@@ -131,10 +132,7 @@ _TIMED_SQL = """(
 def results_trend(spark, sf):
     """Stored result lines to smoothed series; the place in the file decides which value is last."""
     path = scratch_path(spark, "trend")
-    # One file per job keeps the order of the events, as one result file does.
-    ordered = _event_results(spark, sf).withColumn("at", F.monotonically_increasing_id())
-    placed = ordered.repartition("job_id").sortWithinPartitions("job_id", "at").drop("at")
-    sinks.write_results(placed, path, by_job=True)
+    sinks.write_results(_event_results(spark, sf, "event_id"), path, by_job=True, order_by=["event_id"])
     chunks = trend(sources.results_csv(spark, path), ["job_id"])
     return chunks.withColumn("dt", format_timestamp(F.col("dt")))
 

@@ -1 +1,117 @@
-"""."""
+"""Training, evaluation and scoring."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moodtide.operators.metrics import accuracy, class_report, confusion
+from moodtide.operators.records import result_lines
+from moodtide.operators.splits import random_split
+from moodtide.plans.scoring import predict, predict_file
+from moodtide.plans.training import Settings, train_and_store, unigram_stages
+from moodtide.queries.base import documents, labelled, query, tweets
+from moodtide.session import scratch_path
+from moodtide.sinks import files as sinks
+from moodtide.sources.files import load_model
+from moodtide.sources.files import table
+
+# Iterations are a parameter; the library default lets the fit run to convergence.
+QUICK = Settings(max_iterations=20)
+
+_fitted: dict[tuple[str, str], tuple[str, PipelineModel, DataFrame]] = {}
+
+
+def fitted(spark: SparkSession, sf: str) -> tuple[str, PipelineModel, DataFrame]:
+    """Model folder, model and held-out predictions; fitted once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        root = scratch_path(spark, "model")
+        model, predicted = train_and_store(labelled(spark, sf), "doc_id", root, QUICK)
+        _fitted[key] = (root, model, predicted)
+    return _fitted[key]
+
+
+@query("train_eval")
+def train_eval(spark, sf):
+    """Accuracy on the held-out part."""
+    _, _, predicted = fitted(spark, sf)
+    return accuracy(predicted)
+
+
+@query("stored_scores")
+def stored_scores(spark, sf):
+    """The accuracy as stored next to the model."""
+    root, _, _ = fitted(spark, sf)
+    return spark.read.json(f"{root}/models/v5/scores")
+
+
+@query("model_confusion")
+def model_confusion(spark, sf):
+    _, _, predicted = fitted(spark, sf)
+    return confusion(predicted)
+
+
+@query("model_report")
+def model_report(spark, sf):
+    _, _, predicted = fitted(spark, sf)
+    return class_report(predicted)
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf):
+    """Documents on which the stored model and the fitted one differ; there are none."""
+    root, model, _ = fitted(spark, sf)
+    texts = documents(spark, sf, "doc_id", "text")
+    kept = predict(texts, model, ["doc_id"])
+    loaded = predict(texts, load_model(root), ["doc_id"]).withColumnRenamed("prediction", "reloaded")
+    return kept.join(loaded, "doc_id").groupBy((F.col("prediction") == F.col("reloaded")).alias("same")).count()
+
+
+@query("predict_lines")
+def predict_lines(spark, sf):
+    """Every document scored, as result lines."""
+    root, _, _ = fitted(spark, sf)
+    texts = tweets(spark, sf).withColumn("dt", F.try_to_timestamp(F.substring("datetime", 1, 19)))
+    return result_lines(predict(texts, load_model(root), ["doc_id", "dt"]))
+
+
+@query("predict_file")
+def predict_from_file(spark, sf):
+    """Collected tweets from a CSV file to a result file."""
+    root, _, _ = fitted(spark, sf)
+    source, target = scratch_path(spark, "tweets"), scratch_path(spark, "results")
+    rows = tweets(spark, sf).select(
+        F.regexp_replace("text", "[\r\n\"]", " ").alias("tweet"),
+        "datetime",
+        *[(F.col("n_chars") % base).cast("int").alias(f"{name}_count") for name, base in (("replies", 7), ("retweets", 11), ("likes", 13))],
+    )
+    sinks.write_tweets(rows, source)
+    predict_file(spark, source, target, root)
+    return spark.read.text(target)
+
+
+@query("train_unigrams")
+def train_unigrams(spark, sf):
+    """The second model: single words without stop words."""
+    root = scratch_path(spark, "unigrams")
+    settings = Settings(vocabulary_size=100_000, max_iterations=20)
+    _, predicted = train_and_store(labelled(spark, sf), "doc_id", root, settings, "v1", unigram_stages(settings))
+    return accuracy(predicted)
+
+
+@query("train_raw_text")
+def train_raw_text(spark, sf):
+    """The model that reads the raw text, as the first training job does."""
+    root = scratch_path(spark, "raw-text")
+    settings = Settings(text_col="text", max_iterations=20)
+    _, predicted = train_and_store(labelled(spark, sf), "doc_id", root, settings, "v2")
+    return accuracy(predicted)
+
+
+@query("split_random")
+def split_random(spark, sf):
+    train, test = random_split(table(spark, sf, "labels"))
+    parts = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return parts.groupBy("split").count()

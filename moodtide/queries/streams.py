@@ -1 +1,125 @@
-"""."""
+"""Streaming queries: each drains its input, stops, and returns the table it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from moodtide.functions.timestamps import format_timestamp
+from moodtide.operators.records import parse_messages, sentiment_rows
+from moodtide.queries.base import JOBS_SQL, MESSAGES_SQL, TWEETS_SQL, clean_sql, gate_words_sql, message_rows, query, search_jobs, tweets
+from moodtide.queries.model import fitted
+from moodtide.session import scratch_path
+from moodtide.sinks.files import write_messages
+from moodtide.sources.files import load_model, table
+from moodtide.sources.streams import message_files, table_files
+from moodtide.streaming import flows
+
+
+def _arriving(spark, sf):
+    """Conversation turns as a stream of JSON messages."""
+    path = scratch_path(spark, "topic")
+    write_messages(message_rows(spark, sf), path)
+    return message_files(spark, path)
+
+
+def _drained(spark, rows, label):
+    path = scratch_path(spark, label)
+    flows.finish(flows.append_to_files(rows, path, f"{path}-checkpoint", once=True))
+    return spark.read.parquet(path)
+
+
+@query("stream_messages", f"SELECT text, created_at, job_id, query, job_created_at FROM {MESSAGES_SQL}")
+def stream_messages(spark, sf):
+    """Messages parsed on arrival."""
+    parsed = parse_messages(_arriving(spark, sf)).select(
+        "tweet.text", "tweet.created_at", "job_config.job_id", "job_config.query", F.col("job_config.created_at").alias("job_created_at")
+    )
+    return _drained(spark, parsed, "parsed")
+
+
+@query(
+    "stream_clean_append",
+    f"""SELECT {clean_sql('text')} AS text, created_at, (length(query) % 2 * 4)::INTEGER AS sentiment, job_id, query, job_created_at
+        FROM {MESSAGES_SQL}""",
+)
+def stream_clean_append(spark, sf):
+    """Messages cleaned, shaped and appended, with a rule in place of the model."""
+    cleaned = flows.clean_messages(_arriving(spark, sf))
+    rows = sentiment_rows(cleaned.withColumn("prediction", F.length("job_config.query") % 2 * 4))
+    return _drained(spark, rows, "appended").select(
+        "text",
+        format_timestamp(F.col("created_at")).alias("created_at"),
+        "sentiment",
+        "job.job_id",
+        "job.query",
+        format_timestamp(F.col("job.created_at")).alias("job_created_at"),
+    )
+
+
+@query("stream_predict")
+def stream_predict(spark, sf):
+    """Messages scored with the stored model of the batch jobs."""
+    root, _, _ = fitted(spark, sf)
+    rows = flows.sentiment_stream(_arriving(spark, sf), load_model(root))
+    return _drained(spark, rows, "scored")
+
+
+_WINDOW_SQL = "strftime(to_timestamp(floor(epoch(ts) / 10) * 10) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
+
+
+def _event_stream(spark, sf):
+    # A pattern, because a stream takes a single file only as the match of one.
+    return table_files(spark, f"{sf}/{{events}}.parquet", table(spark, sf, "events").schema)
+
+
+@query(
+    "stream_window10s",
+    f"""SELECT {_WINDOW_SQL} AS window_start, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY ALL""",
+)
+def stream_window10s(spark, sf):
+    """Mean value of each ten seconds."""
+    path = scratch_path(spark, "windows")
+    windows = flows.windowed_sentiment(_event_stream(spark, sf), "ts", "value")
+    flows.finish(flows.update_windows(windows, path, f"{path}-checkpoint", once=True))
+    newest = flows.newest_windows(spark.read.parquet(path))
+    return newest.select(format_timestamp(F.col("window_start")).alias("window_start"), F.round("mean_value", 6).alias("mean_value"), "n")
+
+
+@query("stream_tag_window", f"SELECT event_id, {_WINDOW_SQL} AS window_start FROM events")
+def stream_tag_window(spark, sf):
+    """Each event with its window, nothing aggregated."""
+    tagged = flows.tag_window(_event_stream(spark, sf), "ts").select("event_id", "window_start")
+    return _drained(spark, tagged, "tagged").withColumn("window_start", format_timestamp(F.col("window_start")))
+
+
+@query(
+    "stream_fresh_events",
+    "SELECT event_id FROM events WHERE epoch(now()) - epoch(ts) <= 31536000000",
+)
+def stream_fresh_events(spark, sf):
+    """Events no older than a thousand years when they are processed."""
+    fresh = flows.fresh_events(_event_stream(spark, sf), "ts", 31536000000.0)
+    return _drained(spark, fresh.select("event_id"), "fresh")
+
+
+@query(
+    "stream_fanout",
+    f"""SELECT array_to_string(w, ' ') AS text, left(datetime, 19) AS created_at, job_id, query
+        FROM (SELECT *, {gate_words_sql('text')} AS w
+              FROM (SELECT j.job_id, j.query, t.text, t.datetime,
+                           row_number() OVER (PARTITION BY job_id ORDER BY doc_id DESC) AS r
+                    FROM {TWEETS_SQL} t, {JOBS_SQL} j
+                    WHERE t.lang = 'en' AND contains(lower(t.text), lower(j.query)))
+              WHERE r <= 100)
+        WHERE len(w) >= 6""",
+)
+def stream_fanout(spark, sf):
+    """Every job against the arriving tweets; all files make one batch here."""
+    source, path = scratch_path(spark, "tweets"), scratch_path(spark, "fanned")
+    rows = tweets(spark, sf).select("doc_id", "lang", "text", "datetime")
+    rows.write.parquet(source)
+    arriving = table_files(spark, source, rows.schema)
+    flows.finish(
+        flows.fan_out_stream(arriving, search_jobs(spark, sf), ["doc_id"], path, f"{path}-checkpoint", once=True)
+    )
+    return spark.read.parquet(path).select("tweet.text", "tweet.created_at", "job_config.job_id", "job_config.query")

@@ -32,9 +32,20 @@ def write_clean(rows: DataFrame, path: str) -> None:
     rows.write.options(**_CSV).csv(path, header=True)
 
 
-def write_results(predictions: DataFrame, path: str, by_job: bool = False) -> None:
-    """`dt, prediction` lines, under one folder per job on request."""
-    lines = result_lines(predictions)
+def write_results(
+    predictions: DataFrame, path: str, by_job: bool = False, order_by: list[str] | None = None
+) -> None:
+    """`dt, prediction` lines, under one folder per job on request.
+
+    With `order_by` the lines of a job keep that order over its files: rows are
+    placed by ranges, so a hot job is written by many tasks, and files are
+    numbered like the ranges.
+    """
+    rows = predictions
+    if order_by:
+        keys = ["job_id", *order_by] if by_job else order_by
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*order_by)
+    lines = result_lines(rows)
     writer = lines.write.partitionBy("job_id") if by_job else lines.select("value").write
     writer.text(path)
 
