@@ -44,13 +44,15 @@ def strip_mentions_links(text: Column) -> Column:
 def expand_negations(text: Column) -> Column:
     """Expand the listed contractions at word boundaries (lower-case input).
 
-    Words of the form "<verb>n't" share one pattern; the irregular ones get their own.
+    Words of the form "<verb>n't" share one pattern; the irregular ones get
+    their own.  The word before a match is checked by looking back from it, so
+    the scan only stops where the contraction itself occurs.
     """
     regular = [k[:-3] for k, v in NEGATIONS.items() if v == f"{k[:-3]} not"]
-    expanded = F.regexp_replace(text, rf"(?U)\b({'|'.join(regular)})n't\b", "$1 not")
+    expanded = F.regexp_replace(text, rf"(?U)n't\b(?<=\b(?:{'|'.join(regular)})n't)", " not")
     for short, full in NEGATIONS.items():
         if short[:-3] not in regular:
-            expanded = F.regexp_replace(expanded, rf"(?U)\b{short}\b", full)
+            expanded = F.regexp_replace(expanded, rf"(?U){short}\b(?<=\b{short})", full)
     return expanded
 
 
@@ -69,22 +71,13 @@ def _letter_words(lowered: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"\b[a-z]\b ?", ""))
 
 
-def clean_markup_free(text: Column, may_negate: Column | None = None) -> Column:
+def clean_markup_free(text: Column) -> Column:
     """The cleaner after its HTML step.  Null becomes the empty string."""
     lowered = F.lower(strip_mentions_links(text))
-    if may_negate is None:
-        may_negate = F.contains(text, F.lit("'"))
-    return F.coalesce(
-        F.when(may_negate, _letter_words(expand_negations(lowered))).otherwise(_letter_words(lowered)),
-        F.lit(""),
-    )
+    negated = F.when(F.contains(lowered, F.lit("n't")), expand_negations(lowered)).otherwise(lowered)
+    return F.coalesce(_letter_words(negated), F.lit(""))
 
 
 def clean_text(text: Column) -> Column:
-    """The whole first cleaner.
-
-    The negation patterns run only where an apostrophe can be present: in the
-    raw text, or written as a character reference.
-    """
-    may_negate = F.contains(text, F.lit("'")) | F.contains(text, F.lit("&"))
-    return clean_markup_free(html_text(text), may_negate)
+    """The whole first cleaner."""
+    return clean_markup_free(html_text(text))

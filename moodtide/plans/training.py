@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -67,9 +67,9 @@ def _apply(stages: list[Transformer], df: DataFrame) -> DataFrame:
 def fit(train: DataFrame, settings: Settings, stages: list[Transformer] | None = None) -> PipelineModel:
     """Fit on rows with `sentiment` (0 or 4) and `text`; the model predicts 0.0 or 4.0.
 
-    The vocabulary comes from one hash aggregate and is at most
-    `vocabulary_size` words when it reaches the driver.  Labels are fitted as
-    0/1, because codes 0 and 4 would make Spark fit five classes.
+    The vocabulary comes from one hash aggregate over the corpus, with ties cut
+    alphabetically; the vectorizer only numbers the chosen terms.  Labels are
+    fitted as 0/1, because codes 0 and 4 would make Spark fit five classes.
     """
     stages = ngram_stages(settings) if stages is None else stages
     prepared = _apply(stages, train).select(
@@ -81,8 +81,9 @@ def fit(train: DataFrame, settings: Settings, stages: list[Transformer] | None =
         prepared = prepared.repartition(settings.partitions)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        terms = [row["term"] for row in vocabulary(prepared, "c_words", settings.vocabulary_size).collect()]
-        vectorizer = CountVectorizerModel.from_vocabulary(terms, inputCol="c_words", outputCol="features")
+        terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
+        counter = CountVectorizer(inputCol="c_words", outputCol="features", vocabSize=settings.vocabulary_size)
+        vectorizer = counter.fit(terms.select(F.array("term").alias("c_words")))
         regression = LogisticRegression(
             featuresCol="features",
             labelCol="label",
