@@ -52,18 +52,16 @@ def _code_point(body: Column) -> Column:
 def _decode_piece(names: Column):
     """Decoder of one piece of a text that was cut at each "&"."""
 
+    def character(reference: Column) -> Column:
+        named = F.try_element_at(names, F.rtrim(reference, F.lit(";")))
+        numeric = F.coalesce(_character(_code_point(F.rtrim(reference, F.lit(";")))), F.lit(""))
+        kept = F.concat(F.lit("&"), reference)
+        return F.when(F.startswith(reference, F.lit("#")), numeric).otherwise(F.coalesce(named, kept))
+
     def decode(piece: Column, index: Column) -> Column:
-        def replaced(reference: Column) -> Column:
-            body = F.rtrim(reference, F.lit(";"))
-            rest = F.substr(piece, F.length(reference) + 1)
-            numeric = F.coalesce(bind(_code_point(body), _character), F.lit(""))
-            kept = F.concat(F.lit("&"), reference)
-            character = F.when(F.startswith(reference, F.lit("#")), numeric).otherwise(
-                F.coalesce(F.try_element_at(names, body), kept)
-            )
-            return F.concat(character, rest)
-
-        return F.when(index == 0, piece).otherwise(bind(F.regexp_extract(piece, _REFERENCE, 0), replaced))
+        rest = F.regexp_replace(piece, _REFERENCE, "")
+        decoded = F.concat(bind(F.regexp_extract(piece, _REFERENCE, 0), character), rest)
+        return F.when(index == 0, piece).otherwise(decoded)
 
     return decode
 

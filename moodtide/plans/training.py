@@ -16,7 +16,7 @@ from moodtide.operators.metrics import accuracy
 from moodtide.operators.splits import recode_label, stable_split
 from moodtide.plans.stages import TextCleaner
 from moodtide.sinks.files import save_model, save_scores
-from moodtide.sources.files import DEFAULT_MODEL_VERSION
+from moodtide.sources.files import DEFAULT_MODEL_VERSION, load_model
 
 # Fixed values, needed for equal results.
 MAX_ITERATIONS = 5000
@@ -108,11 +108,13 @@ def train_and_store(
 ) -> tuple[PipelineModel, DataFrame]:
     """Split, fit, score on the held-out part, and store model and score.
 
-    Returns the model and the held-out predictions.
+    Returns the model and the held-out predictions.  What is scored is the
+    model as read back, which no longer holds its training summary and
+    therefore drags no session state into the tasks.
     """
     train, test = stable_split(labelled, id_col)
-    model = fit(train, settings, stages)
+    save_model(fit(train, settings, stages), root, version)
+    model = load_model(root, version)
     predicted = model.transform(test).select(id_col, "sentiment", "prediction")
-    save_model(model, root, version)
     save_scores(accuracy(predicted), root, version)
     return model, predicted

@@ -152,3 +152,13 @@ def test_second_cleaner(spark):
     assert [row["text_clean"] for row in second_clean(frame).collect()] == ["happili ever", None]
     assert second_clean(frame, stems=False).first()["text_clean"] == "cats running happily ever"
     assert len(STOP_WORDS) == len(set(STOP_WORDS)) == 179
+
+
+def test_stems_of_cleaned_texts(spark):
+    """The Python stage must be planned on top of the whole native expression."""
+    from moodtide.functions.stemming import stem_words
+
+    frame = spark.createDataFrame([("@x HAPPILY &amp; <b>running&#33;</b>",)], "text string")
+    stemmed = frame.select(stem_words(clean_text(F.col("text"))).alias("s"))
+    assert [row["s"] for row in stemmed.collect()] == ["happili run"]
+    assert stemmed.select(F.explode(F.split("s", " ")).alias("w")).groupBy("w").count().count() == 2
