@@ -43,11 +43,12 @@ def top_per_group(df: DataFrame, keys: list[str], newest_first: list[str], limit
 
     Ranked first within salted parts of each key and then among the survivors,
     so a key that holds a third of the table is spread over many tasks and its
-    last task sees no more than salts x limit rows.  Both ranks are cut before
-    their shuffle, because the limit is known to the window.
+    last task sees no more than salts x limit rows.  The salt is the same for
+    all rows of an input task: the limit is known to the window, which sends
+    at most `limit` rows per key and task into the first shuffle.
     """
     order = [F.desc(name) for name in newest_first]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*newest_first), F.lit(_SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
     for part in (keys + ["_salt"], keys):
         rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
         salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")

@@ -59,7 +59,7 @@ def matches_indexed(spark, sf):
     return match_phrases(texts, search_jobs(spark, sf), direct_phrases=0).select("doc_id", "phrase")
 
 
-_FAN_OUT_SQL = f"""
+FAN_OUT_SQL = f"""
     SELECT job_id, query, created_at, doc_id, text, datetime
     FROM (SELECT j.*, t.doc_id, t.text, t.datetime,
                  row_number() OVER (PARTITION BY job_id ORDER BY doc_id DESC) AS r
@@ -72,7 +72,7 @@ def _searched(spark, sf):
     return tweets(spark, sf).select("doc_id", "lang", "text", "datetime")
 
 
-@query("job_fanout", f"SELECT job_id, query, doc_id, text FROM ({_FAN_OUT_SQL})")
+@query("job_fanout", f"SELECT job_id, query, doc_id, text FROM ({FAN_OUT_SQL})")
 def job_fanout(spark, sf):
     return fan_out(_searched(spark, sf), search_jobs(spark, sf), ["doc_id"]).select("job_id", "query", "doc_id", "text")
 
@@ -80,7 +80,7 @@ def job_fanout(spark, sf):
 @query(
     "collect_tweets",
     f"""SELECT job_id, doc_id, array_to_string(w, ' ') AS text
-        FROM (SELECT job_id, doc_id, {gate_words_sql('text')} AS w FROM ({_FAN_OUT_SQL})) WHERE len(w) >= 5""",
+        FROM (SELECT job_id, doc_id, {gate_words_sql('text')} AS w FROM ({FAN_OUT_SQL})) WHERE len(w) >= 5""",
 )
 def collected(spark, sf):
     return collect_tweets(_searched(spark, sf), search_jobs(spark, sf), ["doc_id"]).select("job_id", "doc_id", "text")
@@ -90,7 +90,7 @@ def collected(spark, sf):
     "job_messages",
     f"""SELECT array_to_string(w, ' ') AS tweet_text, strftime(strptime(left(datetime, 19), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS tweet_created_at,
                job_id, query, created_at
-        FROM (SELECT *, {gate_words_sql('text')} AS w FROM ({_FAN_OUT_SQL})) WHERE len(w) >= 6""",
+        FROM (SELECT *, {gate_words_sql('text')} AS w FROM ({FAN_OUT_SQL})) WHERE len(w) >= 6""",
 )
 def job_messages(spark, sf):
     """Messages of every job as JSON text, read back field by field."""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from moodtide.operators.metrics import accuracy, class_report, confusion
 from moodtide.operators.records import result_lines
 from moodtide.operators.splits import random_split
-from moodtide.plans.scoring import predict, predict_file
+from moodtide.plans.analysis import analyse_jobs
+from moodtide.plans.scoring import predict, predict_elsewhere, predict_file
 from moodtide.plans.training import Settings, train_and_store, unigram_stages
-from moodtide.queries.base import documents, labelled, query, tweets
+from moodtide.queries.base import documents, labelled, query, search_jobs, tweets
 from moodtide.session import scratch_path
 from moodtide.sinks import files as sinks
 from moodtide.sources.files import load_model
@@ -115,3 +116,24 @@ def split_random(spark, sf):
     train, test = random_split(table(spark, sf, "labels"))
     parts = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return parts.groupBy("split").count()
+
+
+@query("analyse_jobs")
+def analysed(spark, sf):
+    """Every job from its phrase to its series, with the stored model."""
+    root, _, _ = fitted(spark, sf)
+    found = tweets(spark, sf).select("doc_id", "lang", "text", "datetime")
+    return analyse_jobs(found, search_jobs(spark, sf), load_model(root).transform, ["doc_id"])
+
+
+@query(
+    "predict_elsewhere",
+    "SELECT doc_id, (length(text) % 2 * 4)::DOUBLE AS prediction FROM documents",
+)
+def predicted_elsewhere(spark, sf):
+    """A foreign model per task, here a rule on the length of the text."""
+
+    def setup():
+        return lambda batch: batch.str.len() % 2 * 4
+
+    return predict_elsewhere(documents(spark, sf, "doc_id", "text"), setup).select("doc_id", "prediction")

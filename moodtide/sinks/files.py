@@ -14,7 +14,6 @@ from moodtide.sources.files import CSV_QUOTING, DEFAULT_MODEL_VERSION, model_pat
 
 # Writers trim values by default.
 _CSV = {**CSV_QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-_STAGE_SALTS = 16
 
 Result = TypeVar("Result")
 
@@ -32,6 +31,11 @@ def write_clean(rows: DataFrame, path: str) -> None:
     rows.write.options(**_CSV).csv(path, header=True)
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of a job in few files: AQE merges small jobs into one task and splits a hot one over many."""
+    return rows.hint("rebalance", F.col("job_id"))
+
+
 def write_results(
     predictions: DataFrame, path: str, by_job: bool = False, order_by: list[str] | None = None
 ) -> None:
@@ -45,6 +49,8 @@ def write_results(
     if order_by:
         keys = ["job_id", *order_by] if by_job else order_by
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*order_by)
+    elif by_job:
+        rows = _gathered(rows)
     lines = result_lines(rows)
     writer = lines.write.partitionBy("job_id") if by_job else lines.select("value").write
     writer.text(path)
@@ -55,6 +61,11 @@ def write_messages(rows: DataFrame, path: str) -> None:
     to_json_lines(rows).write.text(path)
 
 
+def publish_messages(rows: DataFrame, servers: str, topic: str) -> None:
+    """The same to a Kafka topic; needs the Kafka connector on the class path."""
+    to_json_lines(rows).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def store_jobs(jobs: DataFrame, *folders: str) -> None:
     """Append job records to each of several places."""
     for folder in folders:
@@ -62,13 +73,8 @@ def store_jobs(jobs: DataFrame, *folders: str) -> None:
 
 
 def stage_by_job(rows: DataFrame, path: str) -> None:
-    """Copy rows next to the results of their job.
-
-    Rows of a job share few files; the salt keeps a hot job on several tasks.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_STAGE_SALTS)))
-    placed = salted.repartition("job_id", "_salt").drop("_salt")
-    placed.write.mode("overwrite").partitionBy("job_id").parquet(path)
+    """Copy rows next to the results of their job."""
+    _gathered(rows).write.mode("overwrite").partitionBy("job_id").parquet(path)
 
 
 def save_model(model: PipelineModel, root: str, version: str = DEFAULT_MODEL_VERSION) -> str:

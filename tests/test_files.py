@@ -88,10 +88,19 @@ def test_trigger_payload(values):
     assert [row.asDict() for row in values(decode_trigger, [payload])] == [record]
 
 
-def test_staging_a_hot_job_uses_several_files(spark, tmp_path):
+def test_a_hot_job_is_staged_by_several_tasks(spark, tmp_path):
     path = str(tmp_path / "staged")
-    sinks.stage_by_job(spark.range(2000).select(F.lit("hot").alias("job_id"), "id"), path)
-    assert spark.read.parquet(path).count() == 2000
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        job = F.when(F.col("id") % 3 == 0, F.concat(F.lit("j"), F.col("id") % 20)).otherwise(F.lit("hot"))
+        sinks.stage_by_job(spark.range(0, 60_000, 1, 8).select(job.alias("job_id"), "id"), path)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert spark.read.parquet(path).count() == 60_000
+    assert sources.object_listing(spark, f"{path}/job_id=hot", "*.parquet").count() > 1
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
