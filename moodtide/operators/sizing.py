@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A broadcast table is held whole by the driver and by every executor.
@@ -16,17 +16,22 @@ MAX_BROADCAST_BYTES = 64 << 20
 class Size:
     rows: int
     text_bytes: int
+    extra: dict = field(default_factory=dict, compare=False)
 
     def fits_broadcast(self, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
         return self.rows <= max_rows and self.text_bytes + 16 * self.rows <= max_bytes
 
 
-def measure(df: DataFrame) -> Size:
-    """Rows and text bytes of a table, by one aggregate over it."""
+def measure(df: DataFrame, **extra: Column) -> Size:
+    """Rows and text bytes of a table, by one aggregate over it; `extra` aggregates ride along."""
     texts = [name for name, kind in df.dtypes if kind == "string"]
     total = sum((F.coalesce(F.octet_length(F.col(name)), F.lit(0)) for name in texts), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total.cast("bigint")).alias("text_bytes")).first()
-    return Size(row["rows"], row["text_bytes"] or 0)
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(total.cast("bigint")).alias("text_bytes"),
+        *[column.alias(name) for name, column in extra.items()],
+    ).first()
+    return Size(row["rows"], row["text_bytes"] or 0, {name: row[name] for name in extra})
 
 
 def broadcast_if_small(df: DataFrame, size: Size | None = None) -> DataFrame:
