@@ -12,20 +12,35 @@ VOCABULARY_SIZE = 80_000
 LONGEST_NGRAM = 3
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    runs = F.transform(starts, lambda start: F.array_join(F.slice(tokens, start, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+def _longer(runs: Column, tokens: Column, n: int) -> Column:
+    """Runs of n tokens from the runs of n - 1: each takes in the token after it."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    following = F.slice(tokens, F.lit(n), count)
+    return F.zip_with(F.slice(runs, F.lit(1), count), following, lambda run, token: F.concat(run, F.lit(" "), token))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by a space; none if there are fewer."""
-    return bind(tokens, lambda bound: _runs(bound, n))
+
+    def grow(bound: Column) -> Column:
+        runs = bound
+        for size in range(2, n + 1):
+            runs = _longer(runs, bound, size)
+        return runs
+
+    return bind(tokens, grow)
 
 
 def all_ngrams(tokens: Column, longest: int = LONGEST_NGRAM) -> Column:
     """1-grams, then 2-grams and so on, in one array."""
-    return bind(tokens, lambda bound: F.concat(bound, *[_runs(bound, n) for n in range(2, longest + 1)]))
+
+    def extend(bound: Column, runs: Column, n: int) -> Column:
+        """These runs and all longer ones; each length is built once."""
+        if n == longest:
+            return runs
+        return bind(_longer(runs, bound, n + 1), lambda grown: F.concat(runs, extend(bound, grown, n + 1)))
+
+    return bind(tokens, lambda bound: extend(bound, bound, 1))
 
 
 def _terms(df: DataFrame, terms: Column, *keep: str) -> DataFrame:

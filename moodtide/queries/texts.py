@@ -40,7 +40,8 @@ def clean_by_lang(spark, sf):
     """Flagship: gate, clean, and count what is left per language."""
     gated = content_gate(documents(spark, sf, "lang", "text"))
     cleaned = gated.select("lang", clean_text(F.col("text")).alias("text"))
-    words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    words = F.when(F.col("text") == "", 0).otherwise(spaces + 1)
     return cleaned.groupBy("lang").agg(
         F.count(F.lit(1)).alias("kept"), F.sum(words.cast("bigint")).alias("words_left")
     )
