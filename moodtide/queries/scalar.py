@@ -11,7 +11,7 @@ from moodtide.operators.gate import observed_gate
 from moodtide.operators.metrics import accuracy, class_report, confusion, confusion_matrix
 from moodtide.operators.records import replace_tweet_text, result_lines, sentiment_rows
 from moodtide.operators.splits import recode_label, split_label
-from moodtide.queries.base import MESSAGES_SQL, TWEET_TIME_SQL, documents, labelled, message_rows, query, tweet_time
+from moodtide.queries.base import MESSAGES_SQL, TWEET_TIME_SQL, documents, gate_words_sql, labelled, message_rows, query, tweet_time
 from moodtide.sources.files import table, typed_tweets
 
 
@@ -231,7 +231,11 @@ def format_line(spark, sf):
     return result_lines(rows)
 
 
-@query("gate_observed")
+@query(
+    "gate_observed",
+    f"""SELECT 'before_filtering' AS stage, count(*) AS n FROM documents
+        UNION ALL SELECT 'after_filtering', count(*) FROM documents WHERE len({gate_words_sql('text')}) >= 5""",
+)
 def gate_observed(spark, sf):
     """Gate counts as a by-product of a write-free run over the documents."""
     gated, before, after = observed_gate(documents(spark, sf, "doc_id", "text"))

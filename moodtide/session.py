@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(
     app_name: str = "moodtide",
@@ -52,9 +54,10 @@ def shared_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="moodtide-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="moodtide-")
+    return _local_roots[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -103,25 +103,36 @@ def test_a_hot_job_is_staged_by_several_tasks(spark, tmp_path):
     assert sources.object_listing(spark, f"{path}/job_id=hot", "*.parquet").count() > 1
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
-    class Conf:
-        def get(self, key, default=None):
-            return None
+class _Conf:
+    def get(self, key, default=None):
+        return None
 
-        def set(self, key, value):
-            raise AssertionError("must not fall back to a local folder")
 
-    class Context:
-        master = "yarn"
+class _Context:
+    applicationId = "app-without-a-folder"
 
-        def getConf(self):
-            return Conf()
+    def __init__(self, master):
+        self.master = master
 
-    class Session:
-        sparkContext, conf = Context(), Conf()
+    def getConf(self):
+        return _Conf()
 
+
+class _Session:
+    conf = _Conf()
+
+    def __init__(self, master):
+        self.sparkContext = _Context(master)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
-        session.shared_root(Session())
+        session.shared_root(_Session("yarn"))
+
+
+def test_scratch_falls_back_only_in_a_local_session():
+    first = session.shared_root(_Session("local[2]"))
+    assert first == session.shared_root(_Session("local[2]"))
 
 
 def test_scratch_paths_lie_in_the_configured_folder(spark):
