@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from moodtide.operators.features import VOCABULARY_SIZE, vocabulary
-from moodtide.operators.metrics import accuracy
+from moodtide.operators.metrics import accuracy, class_report
 from moodtide.operators.splits import recode_label, stable_split
 from moodtide.plans.stages import TextCleaner
-from moodtide.sinks.files import save_model, save_scores
+from moodtide.sinks.files import save_model, save_report, save_scores
 from moodtide.sources.files import DEFAULT_MODEL_VERSION, load_model
 
 # Fixed values, needed for equal results.
@@ -70,30 +70,29 @@ def fit(train: DataFrame, settings: Settings, stages: list[Transformer] | None =
     The vocabulary comes from one hash aggregate over the corpus, with ties cut
     alphabetically; the vectorizer only numbers the chosen terms.  Labels are
     fitted as 0/1, because codes 0 and 4 would make Spark fit five classes.
+
+    Texts are tokenized twice, for the vocabulary and for the vectors, and not
+    kept in between: n-grams take several times the space of their texts.  The
+    regression itself keeps the sparse vectors for its iterations.
     """
     stages = ngram_stages(settings) if stages is None else stages
-    prepared = _apply(stages, train).select(
+    rows = train.repartition(settings.partitions) if settings.partitions else train
+    prepared = _apply(stages, rows).select(
         recode_label(F.col("sentiment")).cast("double").alias("label"), "text_clean", "c_words"
     )
     if settings.drop_empty:
         prepared = prepared.where(F.col("text_clean") != "")
-    if settings.partitions:
-        prepared = prepared.repartition(settings.partitions)
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
-        counter = CountVectorizer(inputCol="c_words", outputCol="features", vocabSize=settings.vocabulary_size)
-        vectorizer = counter.fit(terms.select(F.array("term").alias("c_words")))
-        regression = LogisticRegression(
-            featuresCol="features",
-            labelCol="label",
-            predictionCol="class_index",
-            maxIter=settings.max_iterations,
-            aggregationDepth=settings.aggregation_depth,
-        )
-        fitted = regression.fit(vectorizer.transform(prepared).select("label", "features"))
-    finally:
-        prepared.unpersist()
+    terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
+    counter = CountVectorizer(inputCol="c_words", outputCol="features", vocabSize=settings.vocabulary_size)
+    vectorizer = counter.fit(terms.select(F.array("term").alias("c_words")))
+    regression = LogisticRegression(
+        featuresCol="features",
+        labelCol="label",
+        predictionCol="class_index",
+        maxIter=settings.max_iterations,
+        aggregationDepth=settings.aggregation_depth,
+    )
+    fitted = regression.fit(vectorizer.transform(prepared).select("label", "features"))
     recode = SQLTransformer(statement=f"SELECT *, class_index * {POSITIVE} AS prediction FROM __THIS__")
     return PipelineModel([*stages, vectorizer, fitted, recode])
 
@@ -106,7 +105,7 @@ def train_and_store(
     version: str = DEFAULT_MODEL_VERSION,
     stages: list[Transformer] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Split, fit, score on the held-out part, and store model and score.
+    """Split, fit, score on the held-out part, and store the model with its score and class report.
 
     Returns the model and the held-out predictions.  What is scored is the
     model as read back, which no longer holds its training summary and
@@ -116,5 +115,10 @@ def train_and_store(
     save_model(fit(train, settings, stages), root, version)
     model = load_model(root, version)
     predicted = model.transform(test).select(id_col, "sentiment", "prediction")
-    save_scores(accuracy(predicted), root, version)
+    predicted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        save_scores(accuracy(predicted), root, version)
+        save_report(class_report(predicted), root, version)
+    finally:
+        predicted.unpersist()
     return model, predicted

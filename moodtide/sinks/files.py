@@ -90,6 +90,13 @@ def save_scores(scores: DataFrame, root: str, version: str = DEFAULT_MODEL_VERSI
     return path
 
 
+def save_report(report: DataFrame, root: str, version: str = DEFAULT_MODEL_VERSION) -> str:
+    """The class report next to the model, as JSON."""
+    path = f"{root}/models/{version}/report"
+    report.write.mode("overwrite").json(path)
+    return path
+
+
 def recording_failure(
     spark: SparkSession, job_id: str, errors_path: str, work: Callable[[], Result]
 ) -> Result:

@@ -39,6 +39,8 @@ def test_learns_and_scores(spark, stored):
     assert predicted.where("sentiment <> prediction").count() == 0
     assert {row["prediction"] for row in predicted.collect()} == {0.0, 4.0}
     assert spark.read.json(f"{root}/models/v5/scores").first()["accuracy"] == 1.0
+    report = spark.read.json(f"{root}/models/v5/report")
+    assert {row["class"] for row in report.collect()} == {"0", "4", "macro avg", "weighted avg"}
 
 
 def test_reloaded_model_predicts_the_same(labelled, stored):
