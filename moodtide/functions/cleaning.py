@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from moodtide.functions.binding import bind
 from moodtide.functions.html import html_text
 
 # Fixed values, needed for equal results.
@@ -65,7 +66,7 @@ def _letter_words(lowered: Column) -> Column:
     """Lower-case words of two or more letters, one space between them.
 
     The same as blanking non-letters, splitting and dropping one-letter words,
-    but as two regex passes that stay inside generated code.
+    but as two regex passes without an array in between.
     """
     spaced = F.regexp_replace(lowered, "[^a-z]+", " ")
     return F.trim(F.regexp_replace(spaced, r"\b[a-z]\b ?", ""))
@@ -73,9 +74,12 @@ def _letter_words(lowered: Column) -> Column:
 
 def clean_markup_free(text: Column) -> Column:
     """The cleaner after its HTML step.  Null becomes the empty string."""
-    lowered = F.lower(strip_mentions_links(text))
-    negated = F.when(F.contains(lowered, F.lit("n't")), expand_negations(lowered)).otherwise(lowered)
-    return F.coalesce(_letter_words(negated), F.lit(""))
+
+    def finish(lowered: Column) -> Column:
+        negated = F.when(F.contains(lowered, F.lit("n't")), expand_negations(lowered)).otherwise(lowered)
+        return _letter_words(negated)
+
+    return F.coalesce(bind(F.lower(strip_mentions_links(text)), finish), F.lit(""))
 
 
 def clean_text(text: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from moodtide.functions.binding import bind
+
 # Fixed values, needed for equal results.
 NOT_WHITELISTED = r"[^A-Za-z0-9_!@#$%^&*()<>,.\s/:]+"
 QUERY_CHARACTERS = r"^[a-zA-Z\d!\s@#$^&*()_+\"|}{?><~]*$"
@@ -62,7 +64,7 @@ def join_words(parts: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words between white space; blank text has none."""
     trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{SPACE}+")))
+    return bind(trimmed, lambda bound: F.when(bound == "", 0).otherwise(F.size(F.split(bound, f"{SPACE}+"))))
 
 
 def lower_tokens(text: Column) -> Column:
@@ -71,10 +73,13 @@ def lower_tokens(text: Column) -> Column:
     Inner empty tokens stay and trailing ones go; the empty text is one empty
     token while blank text has none.
     """
-    lowered = F.lower(text)
-    blank = F.rlike(text, F.lit(r"^\s+$"))
-    none = F.array().cast("array<string>")
-    return F.when(blank, none).otherwise(F.split(F.regexp_replace(lowered, r"\s+$", ""), r"\s"))
+
+    def tokens(bound: Column) -> Column:
+        blank = F.rlike(bound, F.lit(r"^\s+$"))
+        none = F.array().cast("array<string>")
+        return F.when(blank, none).otherwise(F.split(F.regexp_replace(F.lower(bound), r"\s+$", ""), r"\s"))
+
+    return bind(text, tokens)
 
 
 def word_character_tokens(text: Column) -> Column:
