@@ -111,7 +111,7 @@ def _ranges(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype(np.int32)
 
 
-def _scan(text_at: int, found_at: int | None, sets) -> callable:
+def _scan(text_at: int, found_at: int | None, found_name: str, sets):
     """Look for one set of windows and add what is found to what earlier sets have found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _scan(text_at: int, found_at: int | None, sets) -> callable:
             )
             kept = [batch.column(place) for place in range(batch.num_columns) if place != found_at]
             names = [name for place, name in enumerate(batch.schema.names) if place != found_at]
-            yield pa.RecordBatch.from_arrays([*kept, out], names=[*names, "found"])
+            yield pa.RecordBatch.from_arrays([*kept, out], names=[*names, found_name])
 
     return run
 
@@ -183,7 +183,7 @@ def scan(
         schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema)
         at = columns.index(inner) if number else None
         out = out.select(*[F.col(f"`{name}`") for name in columns]).mapInArrow(
-            _scan(columns.index(text_col), at, windows_set), f"{schema}, `{inner}` {FOUND}" if schema else f"`{inner}` {FOUND}"
+            _scan(columns.index(text_col), at, inner, windows_set), f"{schema}, `{inner}` {FOUND}" if schema else f"`{inner}` {FOUND}"
         )
     return out.withColumnRenamed(inner, found_col)
 

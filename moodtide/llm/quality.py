@@ -56,7 +56,7 @@ RULES = (
     Rule("word_length", "chars_per_word", least=2.0, most=15.0),
     Rule("symbols", "symbols_per_word", most=0.1),
     Rule("stop_words", "stop_word_share", least=0.01),
-    Rule("lines", "repeated_line_share", most=0.3),
+    Rule("lines", "repeated_line_share", most=0.5),
 )
 
 
@@ -199,7 +199,7 @@ judged AS (
         CASE WHEN word_chars / greatest(n_words, 1) < 2 OR word_chars / greatest(n_words, 1) > 15 THEN 'word_length' END,
         CASE WHEN n_symbols / greatest(n_words, 1) > 0.1 THEN 'symbols' END,
         CASE WHEN n_stop_words / greatest(n_words, 1) < 0.01 THEN 'stop_words' END,
-        CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.3 THEN 'lines' END], lambda r: r IS NOT NULL) AS failed_rules
+        CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'lines' END], lambda r: r IS NOT NULL) AS failed_rules
     FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        list_contains(failed_rules, 'base') AS base_failed, len(failed_rules) = 0 AS kept,

@@ -238,7 +238,7 @@ def _windows(size: int, period: int, bits: int):
     return run
 
 
-def _judged(size: int, text_at: int, places_at: int, carried: list[int]):
+def _judged(size: int, text_at: int, places_at: int, carried: list[int], name: str = "judged"):
     """The carried columns, and for each text its words, removed ranges of words, and what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def _judged(size: int, text_at: int, places_at: int, carried: list[int]):
             columns += [pa.array(ranges, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             judged = pa.StructArray.from_arrays(columns, names=["n_words", "n_removed", "kept_sha256", "ranges", "kept_text"])
             names = [batch.schema.names[place] for place in carried]
-            yield pa.RecordBatch.from_arrays([*[batch.column(place) for place in carried], judged], names=[*names, "judged"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(place) for place in carried], judged], names=[*names, name])
 
     return run
 
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.join(starts, doc, "left").select(*[F.col(f"`{name}`") for name in docs.columns], F.col(places))
     carried = list(range(len(docs.columns)))
     schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema)
-    run = _judged(settings.get("size", SIZE), docs.columns.index(text_col), len(carried), carried)
+    run = _judged(settings.get("size", SIZE), docs.columns.index(text_col), len(carried), carried, judged)
     out = joined.mapInArrow(run, f"{schema}, `{judged}` {JUDGED}")
     return out.withColumn(text_col, F.coalesce(F.col(judged)["kept_text"], F.col(text_col))).drop(judged)
 

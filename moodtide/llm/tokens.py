@@ -13,39 +13,82 @@ CAPACITY = 4096
 END_ID = 1
 
 
+# Stands between parts that are encoded together; parts that hold it are encoded alone.
+SEPARATOR = "^"
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit numbers.
 
-    The tokenizers at hand cut texts at white space before anything else, so a
-    text is the sum of its parts between spaces and line breaks, and the
-    ids of a part are kept for the next time it comes.
+    The tokenizers at hand fold case and cut texts at white space, and letters
+    from punctuation, before anything else.  So a text is the sum of its parts
+    between spaces and line breaks, and the ids of a part are kept for the next time it comes.
     """
 
-    MAX_HELD = 64 << 20
+    # Bytes of known parts; the parts of the half filled before are still looked up.
+    MAX_HELD = 144 << 20
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
+    def _find(self, parts: set[str]) -> set[str]:
+        """Parts that are not known; those known before are known again."""
+        new = parts.difference(self.known)
+        again = [part for part in new if part in self.before]
+        for part in again:
+            self._keep(part, self.before[part])
+        return new.difference(again)
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        self.known[part] = ids
+        self.held += 180 + len(part) + len(ids)
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encode unknown parts, all in one text where their ids can be told apart again."""
+        alone = [part for part in parts if SEPARATOR in part or len(self.separator) != 1]
+        together = [part for part in parts if SEPARATOR not in part] if len(self.separator) == 1 else []
+        for part, encoding in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self._keep(part, np.array(encoding.ids, "<u4").tobytes())
+        if together:
+            joined = f" {SEPARATOR} ".join(together)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.separator[0])
+            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            data = ids.tobytes()
+            for part, start, end in zip(together, starts, ends, strict=True):
+                self._keep(part, data[4 * start : 4 * end])
+
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        new = list(set(parts).difference(self.known))
+        new = self._find(set(parts))
         if new:
-            for part, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids = np.array(encoding.ids, "<u4").tobytes()
-                self.known[part] = ids
-                self.held += 200 + len(part) + len(ids)
+            roots = {part: _root(part) for part in new}
+            unknown = self._find(set(roots.values()).union(".,"))
+            if unknown:
+                self._encode_parts(sorted(unknown))
+            for part, root in roots.items():
+                if part != root:
+                    tail = part[len(root) :]
+                    self._keep(part, self.known[root] + (self.known[tail] if tail else b""))
         out = b"".join(map(self.known.__getitem__, parts))
-        if self.held > self.MAX_HELD:
-            self.known.clear()
-            self.held = 0
+        if self.held > self.MAX_HELD // 2:
+            self.before, self.known, self.held = self.known, {}, 0
         return out
 
 
+def _root(part: str) -> str:
+    """What has the same ids but for a last full stop or comma: the part without it, and an ASCII part in lower case."""
+    core = part[:-1] if part[-1:] in (".", ",") and part[-2:-1].lower().isalpha() else part
+    return core.lower() if core.isascii() and "<|" not in core else core
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker."""
