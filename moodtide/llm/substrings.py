@@ -40,7 +40,7 @@ SIZE = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 # Blocks of hashes for each shuffle partition; a task of the next stage reads whole blocks.
-BLOCKS_PER_PARTITION = 16
+BLOCKS_PER_PARTITION = 4
 
 LAST = np.iinfo(np.int64).max
 
@@ -277,7 +277,7 @@ def _resolved(rows: DataFrame, run) -> DataFrame:
 
 def _block_bits(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, (partitions * BLOCKS_PER_PARTITION - 1).bit_length())
+    return max(4, (partitions * BLOCKS_PER_PARTITION - 1).bit_length())
 
 
 def repeated_starts(
