@@ -42,6 +42,9 @@ COVER = (0, 1, 3, 9)
 # Blocks of hashes for each shuffle partition; a task of the next stage reads whole blocks.
 BLOCKS_PER_PARTITION = 4
 
+ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+
+# Stands for a null id.
 LAST = np.iinfo(np.int64).max
 
 
@@ -71,17 +74,19 @@ def _runs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(entries: np.ndarray) -> bytes:
-    """Column after column, so that equal leading bytes meet for the shuffle's compression."""
-    return b"".join(entries[name].tobytes() for name in _ENTRY.names)
+    """Byte after byte of each column, so that the like bytes of ids and places meet for the shuffle's compression."""
+    planes = [np.ascontiguousarray(entries[name]).view(np.uint8).reshape(len(entries), -1).T for name in _ENTRY.names]
+    return b"".join(plane.tobytes() for plane in planes)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     count = len(data) // _ENTRY.itemsize
     out, at = np.empty(count, _ENTRY), 0
     for name in _ENTRY.names:
-        kind = _ENTRY[name]
-        out[name] = np.frombuffer(data, kind, count, at)
-        at += kind.itemsize * count
+        width = _ENTRY[name].itemsize
+        planes = np.frombuffer(data, np.uint8, count * width, at).reshape(width, count)
+        out[name] = np.ascontiguousarray(planes.T).view(_ENTRY[name]).reshape(count)
+        at += width * count
     return out
 
 
@@ -148,7 +153,8 @@ def _anchors(size: int, period: int, cover: tuple[int, ...], bits: int):
                 # Texts shorter than a whole window can hold no match.
                 wanted = on_cover[places % period] & (found.counts()[document] >= size)
                 starts, document, places = starts[wanted], document[wanted], places[wanted]
-                hashes = wa.window_hashes(wa.word_hashes(found), short)[starts]
+                # 48 bits suffice: a chance match only means that a few more windows are hashed.
+                hashes = wa.window_hashes(wa.word_hashes(found), short)[starts] & ANCHOR_BITS
                 parts.append((hashes, ids[found.rows.start + document], places))
             hashes, docs, places = (np.concatenate(part) if part else np.zeros(0, np.int64) for part in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
             entries = _entries(hashes, np.zeros(len(hashes)), docs, places)
