@@ -229,7 +229,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: its id, its `print`, and `component_id`, the smallest id it is linked to."""
     prints = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     edges = links(nodes.select("print"), distance, max_list)
     labels = connected(edges, "simhash")
     linked = labels.join(nodes.withColumnRenamed("print", "node"), "node")
@@ -237,7 +237,8 @@ def near_duplicates(
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     moved = stored(labels.join(smallest, "label").select(F.col("node").alias("print"), "component_id"), "moved")
     component = nodes.join(moved, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(component, "print")
+    # Written, so that both sides of the last join are shuffled and AQE can split a print with many copies.
+    return prints.join(stored(component, "components"), "print")
 
 
 def keep_first(
