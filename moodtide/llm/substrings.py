@@ -101,36 +101,67 @@ def _dealt(entries: np.ndarray, bits: int) -> pa.RecordBatch:
     )
 
 
-# Places found for a document: its id (LAST for null) and an array of numbers.
-PLACES_SCHEMA = "doc long, places binary"
+# Places found, as parallel arrays of document ids (LAST for null) and places, dealt by document.
+PLACES_SCHEMA = "block int, docs binary, places binary"
+STREAM_SCHEMA = "block int, entries binary, docs binary, places binary"
 
 
-def _by_document(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order].astype("<i4")
-    starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.concatenate([starts[1:], [len(docs)]]).astype(np.int64) if len(docs) else starts
-    blobs = [places[a:b].tobytes() for a, b in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array(blobs, pa.binary())], names=["doc", "places"])
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-# -- stages -------------------------------------------------------------------------------
+def _values(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def _with_known(entries: np.ndarray, known: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
-    """One stream of rows (block, entries, doc, places): blocks to deal, and places already settled."""
-    dealt = _dealt(entries, bits)
-    nothing = pa.nulls(dealt.num_rows, pa.int64()), pa.nulls(dealt.num_rows, pa.binary())
-    yield pa.RecordBatch.from_arrays([*dealt.columns, *nothing], names=["block", "entries", "doc", "places"])
-    if known.num_rows:
-        # Spread by document, as they belong to no block.
-        spread = pa.array(wa.mixed(known.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits), pa.uint64()).cast(pa.int32())
+def _by_document(docs: np.ndarray, places: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row per block of documents."""
+    block = (wa.mixed(docs.astype("<i8").view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((places, docs, block))
+    docs, places, block = docs[order].astype("<i8"), places[order].astype("<i4"), block[order]
+    cuts = np.searchsorted(block, np.arange((1 << bits) + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    ranges = [(cuts[number], cuts[number + 1]) for number in used]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(used, pa.int32()),
+            pa.array([_planes(docs[a:b]) for a, b in ranges], pa.binary()),
+            pa.array([_planes(places[a:b]) for a, b in ranges], pa.binary()),
+        ],
+        names=["block", "docs", "places"],
+    )
+
+
+def _gathered_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its places."""
+    docs, places = [np.zeros(0, "<i8")], [np.zeros(0, "<i4")]
+    for batch in batches:
+        docs += [_values(data.as_buffer(), "<i8") for data in batch.column(1)]
+        places += [_values(data.as_buffer(), "<i4") for data in batch.column(2)]
+    docs, places = np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    starts = np.flatnonzero(np.diff(docs, prepend=docs[:1] - 1))
+    for part in range(0, len(starts), 4096):
+        cuts = [*starts[part : part + 4096].tolist(), starts[part + 4096] if part + 4096 < len(starts) else len(docs)]
         yield pa.RecordBatch.from_arrays(
-            [spread, pa.nulls(known.num_rows, pa.binary()), *known.columns], names=["block", "entries", "doc", "places"]
+            [pa.array(docs[cuts[:-1]]), pa.array([places[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+            names=["doc", "places"],
         )
 
 
-STREAM_SCHEMA = "block int, entries binary, doc long, places binary"
+# -- stages -------------------------------------------------------------------------------
+
+
+def _with_known(entries: np.ndarray, known: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
+    """One stream of two kinds of rows: blocks of hashes to resolve, and places already settled."""
+    dealt, names = _dealt(entries, bits), ["block", "entries", "docs", "places"]
+    nothing = pa.nulls(dealt.num_rows, pa.binary())
+    yield pa.RecordBatch.from_arrays([*dealt.columns, nothing, nothing], names=names)
+    if known.num_rows:
+        yield pa.RecordBatch.from_arrays([known.column(0), pa.nulls(known.num_rows, pa.binary()), *known.columns[1:]], names=names)
 
 
 def _batch_ids(column: pa.Array) -> np.ndarray:
@@ -160,31 +191,20 @@ def _anchors(size: int, period: int, cover: tuple[int, ...], bits: int):
             entries = _entries(hashes, np.zeros(len(hashes)), docs, places)
             new, number = _runs(entries)
             many = np.bincount(number, minlength=1)[number] > 1 if len(entries) else new
-            yield from _with_known(entries[new], _by_document(entries["doc"][many], entries["place"][many]), bits)
+            yield from _with_known(entries[new], _by_document(entries["doc"][many], entries["place"][many], bits), bits)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the dealt entries those whose hash came more than once; settled places pass."""
-    held: dict[int, list[np.ndarray]] = {}
-    yield from _settled(batches, held)
-    for parts in held.values():
-        entries = np.sort(np.concatenate(parts), order=["hash", "check"])
-        _, number = _runs(entries)
-        many = np.bincount(number)[number] > 1
-        yield _by_document(entries["doc"][many], entries["place"][many])
+def _shared(entries: np.ndarray) -> np.ndarray:
+    """Which entries have a hash that came more than once."""
+    _, number = _runs(entries)
+    return np.bincount(number)[number] > 1
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the dealt entries those that are not the earliest of their window; settled places pass."""
-    held: dict[int, list[np.ndarray]] = {}
-    yield from _settled(batches, held)
-    for parts in held.values():
-        entries = np.concatenate(parts)
-        entries = _entries(*(entries[name] for name in _ENTRY.names))
-        late = ~_earliest(entries)
-        yield _by_document(entries["doc"][late], entries["place"][late])
+def _later(entries: np.ndarray) -> np.ndarray:
+    """Which entries are not the earliest of their window."""
+    return ~_earliest(entries)
 
 
 def _earliest(entries: np.ndarray) -> np.ndarray:
@@ -194,20 +214,32 @@ def _earliest(entries: np.ndarray) -> np.ndarray:
     return (entries["doc"] == entries["doc"][first]) & (entries["place"] == entries["place"][first])
 
 
-def _settled(batches: Iterator[pa.RecordBatch], held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Hand on settled places and gather the dealt blocks."""
-    for batch in batches:
-        known = batch.column(2).is_valid()
-        yield pa.RecordBatch.from_arrays([batch.column(2).filter(known), batch.column(3).filter(known)], names=["doc", "places"])
-        dealt = batch.column(1).is_valid()
-        for block, data in zip(batch.column(0).filter(dealt).to_pylist(), batch.column(1).filter(dealt)):
-            held.setdefault(block, []).append(_unpacked(data.as_buffer()))
+def _resolver(wanted, bits: int):
+    """Hand on settled places, and add those of the wanted entries of each block of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            known = batch.column(2).is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column(place).filter(known) for place in (0, 2, 3)], names=["block", "docs", "places"])
+            dealt = batch.column(1).is_valid()
+            for block, data in zip(batch.column(0).filter(dealt).to_pylist(), batch.column(1).filter(dealt)):
+                held.setdefault(block, []).append(_unpacked(data.as_buffer()))
+        docs, places = [np.zeros(0, "<i8")], [np.zeros(0, "<i4")]
+        while held:
+            entries = np.concatenate(held.popitem()[1])
+            entries = _entries(*(entries[name] for name in _ENTRY.names))
+            chosen = wanted(entries)
+            docs.append(entries["doc"][chosen])
+            places.append(entries["place"][chosen])
+        yield _by_document(np.concatenate(docs), np.concatenate(places), bits)
+
+    return run
 
 
-def _gathered(blobs) -> np.ndarray:
-    """The distinct numbers of a list of arrays."""
-    parts = [np.frombuffer(blob, "<i4") for blob in blobs or ()]
-    return np.unique(np.concatenate(parts)).astype(np.int64) if parts else np.zeros(0, np.int64)
+def _distinct(blob: bytes | None) -> np.ndarray:
+    """The distinct places of one document."""
+    return np.unique(np.frombuffer(blob or b"", "<i4")).astype(np.int64)
 
 
 def _windows(size: int, period: int, bits: int):
@@ -220,7 +252,7 @@ def _windows(size: int, period: int, bits: int):
                 counts = found.counts()
                 starts = []
                 for doc, count in enumerate(counts.tolist()):
-                    anchors = _gathered(batch.column(2)[found.rows.start + doc].as_py())
+                    anchors = _distinct(batch.column(2)[found.rows.start + doc].as_py())
                     anchors = anchors[anchors < count]
                     # A window begins at most period - 1 words before its anchor.
                     reach = np.zeros(count + 1, np.int64)
@@ -239,7 +271,7 @@ def _windows(size: int, period: int, bits: int):
             entries = _entries(*columns)
             new, _ = _runs(entries)
             late = ~_earliest(entries)
-            yield from _with_known(entries[new], _by_document(entries["doc"][late], entries["place"][late]), bits)
+            yield from _with_known(entries[new], _by_document(entries["doc"][late], entries["place"][late], bits), bits)
 
     return run
 
@@ -252,7 +284,7 @@ def _judged(size: int, text_at: int, places_at: int, carried: list[int], name: s
             n_words, n_removed, digests, ranges, texts = [], [], [], [], []
             for found in wa.words(batch.column(text_at), wa.NOT_SPACE):
                 for doc, count in enumerate(found.counts().tolist()):
-                    starts = _gathered(batch.column(places_at)[found.rows.start + doc].as_py())
+                    starts = _distinct(batch.column(places_at)[found.rows.start + doc].as_py())
                     gone = wa.covered(starts[starts < count], size, count)
                     lo, hi = int(found.first[doc]), int(found.first[doc]) + count
                     # bytes.split() cuts at the same characters.
@@ -275,10 +307,10 @@ def _judged(size: int, text_at: int, places_at: int, carried: list[int], name: s
 JUDGED = "struct<n_words:bigint,n_removed:bigint,kept_sha256:string,ranges:array<int>,kept_text:string>"
 
 
-def _resolved(rows: DataFrame, run) -> DataFrame:
-    """Deal blocks by hash, resolve them, and gather the places of each document."""
-    places = rows.repartition("block").mapInArrow(run, PLACES_SCHEMA)
-    return places.where(F.octet_length("places") > 0).groupBy("doc").agg(F.collect_list("places").alias("places"))
+def _resolved(rows: DataFrame, wanted, bits: int) -> DataFrame:
+    """Deal blocks by hash, resolve them, and bring the places of each document together."""
+    places = rows.repartition("block").mapInArrow(_resolver(wanted, bits), PLACES_SCHEMA)
+    return places.repartition("block").mapInArrow(_gathered_places, "doc long, places binary")
 
 
 def _block_bits(df: DataFrame) -> int:
@@ -294,16 +326,16 @@ def repeated_starts(
     period: int = PERIOD,
     cover: tuple[int, ...] = COVER,
 ) -> DataFrame:
-    """For each document with repeated windows: `doc`, and where they start as `places` (arrays of 32-bit numbers)."""
+    """For each document with repeated windows: `doc`, and where they start as `places` (32-bit numbers)."""
     if not is_cover(cover, period) or period > size:
         raise ValueError("the cover must hold every difference modulo the period, which is at most the window")
     bits = _block_bits(docs)
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     anchors = slim.mapInArrow(_anchors(size, period, cover, bits), STREAM_SCHEMA)
-    shared = _resolved(anchors, _shared)
+    shared = _resolved(anchors, _shared, bits)
     # The texts are shuffled by document once; the last join, below, uses the same exchange.
     extended = slim.join(shared, "doc").mapInArrow(_windows(size, period, bits), STREAM_SCHEMA)
-    return _resolved(extended, _later)
+    return _resolved(extended, _later, bits)
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
