@@ -40,7 +40,7 @@ SIZE = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 # Blocks of hashes for each shuffle partition; a task of the next stage reads whole blocks.
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
 
 ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -117,7 +117,8 @@ def _values(data: bytes, kind: str) -> np.ndarray:
 
 
 def _by_document(docs: np.ndarray, places: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row per block of documents."""
+    """One row per block of documents, of which there are half as many as of hashes."""
+    bits -= 1
     block = (wa.mixed(docs.astype("<i8").view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.lexsort((places, docs, block))
     docs, places, block = docs[order].astype("<i8"), places[order].astype("<i4"), block[order]
