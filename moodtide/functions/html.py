@@ -44,8 +44,9 @@ def _character(code: Column) -> Column:
 def _code_point(body: Column) -> Column:
     """The number in "#65" or "#x41"."""
     decimal = F.substr(body, F.lit(2)).try_cast("bigint")
-    # Longer digit strings overflow and cannot name a character anyway.
-    hexadecimal = F.when(F.length(body) <= 12, F.conv(F.substr(body, F.lit(3)), 16, 10).cast("bigint"))
+    # Without leading zeros, longer digit strings overflow and cannot name a character anyway.
+    digits = F.regexp_replace(F.substr(body, F.lit(3)), "^0+(?=.)", "")
+    hexadecimal = F.when(F.length(digits) <= 10, F.conv(digits, 16, 10).cast("bigint"))
     return F.when(F.rlike(body, F.lit("^#[xX]")), hexadecimal).otherwise(decimal)
 
 

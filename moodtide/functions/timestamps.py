@@ -6,11 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FORMAT = "yyyy-MM-dd HH:mm:ss"
-_WIDTH = 19  # length of a formatted timestamp; a zone name may follow it
+_WIDTH = 19  # length of a formatted timestamp
+_ZONE_NAME = rf"(?s)^.{{{_WIDTH}}}( [A-Za-z][A-Za-z_/]*)?$"
 
 
-def parse_timestamp(text: Column) -> Column:
-    return F.try_to_timestamp(F.substring(text, 1, _WIDTH), F.lit(FORMAT))
+def parse_timestamp(text: Column, zone: bool = True) -> Column:
+    """A time; with `zone` one zone name may follow, which changes nothing. Null for any other tail."""
+    fits = F.rlike(text, F.lit(_ZONE_NAME)) if zone else F.length(text) == _WIDTH
+    return F.when(fits, F.try_to_timestamp(F.substring(text, 1, _WIDTH), F.lit(FORMAT)))
 
 
 def format_timestamp(moment: Column) -> Column:

@@ -98,8 +98,9 @@ def _anchored_matches(
         candidates = lowered.select("*", gram).join(F.broadcast(anchors), "gram").drop("gram")
     else:
         # Only ids and runs are shuffled; texts rejoin the surviving pairs.
-        pairs = lowered.select(id_col, gram).join(anchors, "gram").select(id_col, "phrase")
-        candidates = lowered.join(pairs, id_col)
+        # Rows that share an id, or have none, are candidates together and verified one by one.
+        pairs = lowered.select(F.col(id_col).alias("_id"), gram).join(anchors, "gram").select("_id", "phrase").distinct()
+        candidates = lowered.join(pairs, lowered[id_col].eqNullSafe(pairs["_id"])).drop("_id")
     return candidates.where(F.contains(F.col("_lowered"), F.col("phrase"))).drop("_lowered")
 
 

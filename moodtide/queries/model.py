@@ -18,9 +18,6 @@ from moodtide.sinks import files as sinks
 from moodtide.sources.files import load_model
 from moodtide.sources.files import table
 
-# Iterations are a parameter; the library default lets the fit run to convergence.
-QUICK = Settings(max_iterations=20)
-
 _fitted: dict[tuple[str, str], tuple[str, PipelineModel, DataFrame]] = {}
 
 
@@ -29,7 +26,7 @@ def fitted(spark: SparkSession, sf: str) -> tuple[str, PipelineModel, DataFrame]
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fitted:
         root = scratch_path(spark, "model")
-        model, predicted = train_and_store(labelled(spark, sf), "doc_id", root, QUICK)
+        model, predicted = train_and_store(labelled(spark, sf), "doc_id", root)
         _fitted[key] = (root, model, predicted)
     return _fitted[key]
 
@@ -84,12 +81,12 @@ def predict_from_file(spark, sf):
     root, _, _ = fitted(spark, sf)
     source, target = scratch_path(spark, "tweets"), scratch_path(spark, "results")
     rows = tweets(spark, sf).select(
-        F.regexp_replace("text", "[\r\n\"]", " ").alias("tweet"),
+        F.col("text").alias("tweet"),
         "datetime",
         *[(F.col("n_chars") % base).cast("int").alias(f"{name}_count") for name, base in (("replies", 7), ("retweets", 11), ("likes", 13))],
     )
     sinks.write_tweets(rows, source)
-    predict_file(spark, source, target, root)
+    predict_file(spark, source, target, root, multi_line=True)
     return spark.read.text(target)
 
 
@@ -97,7 +94,7 @@ def predict_from_file(spark, sf):
 def train_unigrams(spark, sf):
     """The second model: single words without stop words."""
     root = scratch_path(spark, "unigrams")
-    settings = Settings(vocabulary_size=100_000, max_iterations=20)
+    settings = Settings(vocabulary_size=100_000)
     _, predicted = train_and_store(labelled(spark, sf), "doc_id", root, settings, "v1", unigram_stages(settings))
     return accuracy(predicted)
 
@@ -106,7 +103,7 @@ def train_unigrams(spark, sf):
 def train_raw_text(spark, sf):
     """The model that reads the raw text, as the first training job does."""
     root = scratch_path(spark, "raw-text")
-    settings = Settings(text_col="text", max_iterations=20)
+    settings = Settings(text_col="text")
     _, predicted = train_and_store(labelled(spark, sf), "doc_id", root, settings, "v2")
     return accuracy(predicted)
 

@@ -77,11 +77,13 @@ def _event_stream(spark, sf):
     f"""SELECT {_WINDOW_SQL} AS window_start, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY ALL""",
 )
 def stream_window10s(spark, sf):
-    """Mean value of each ten seconds."""
-    path = scratch_path(spark, "windows")
-    windows = flows.windowed_sentiment(_event_stream(spark, sf), "ts", "value")
-    flows.finish(flows.update_windows(windows, path, f"{path}-checkpoint", once=True))
-    newest = flows.newest_windows(spark.read.parquet(path))
+    """Mean value of each ten seconds, over files that arrive out of order in several batches."""
+    source, path = scratch_path(spark, "events"), scratch_path(spark, "windows")
+    events = table(spark, sf, "events").select("event_id", "ts", "value")
+    events.repartition(6, F.col("event_id") % 6).write.parquet(source)
+    stream = table_files(spark, source, events.schema, 2)
+    flows.finish(flows.append_window_parts(stream, "ts", "value", path, f"{path}-checkpoint", once=True))
+    newest = flows.merged_windows(spark.read.parquet(path))
     return newest.select(format_timestamp(F.col("window_start")).alias("window_start"), F.round("mean_value", 6).alias("mean_value"), "n")
 
 
@@ -94,11 +96,13 @@ def stream_tag_window(spark, sf):
 
 @query(
     "stream_fresh_events",
-    "SELECT event_id FROM events WHERE epoch(now()) - epoch(ts) <= 31536000000",
+    "SELECT event_id FROM events WHERE (SELECT max(epoch(ts)) FROM events) - epoch(ts) <= 864000",
 )
 def stream_fresh_events(spark, sf):
-    """Events no older than a thousand years when they are processed."""
-    fresh = flows.fresh_events(_event_stream(spark, sf), "ts", 31536000000.0)
+    """Events no older than ten days at the time of the last one."""
+    last = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp").cast("double")).alias("at")).first()["at"]
+    as_of = F.timestamp_seconds(F.lit(last or 0.0))
+    fresh = flows.fresh_events(_event_stream(spark, sf), "ts", 864000.0, as_of)
     return _drained(spark, fresh.select("event_id"), "fresh")
 
 

@@ -122,9 +122,8 @@ def second_clean_stemmed(spark, sf):
 
 @query("stem_words")
 def stems(spark, sf):
-    """Stem counts of the English documents."""
-    english = documents(spark, sf, "lang", "text").where("lang = 'en'")
-    stemmed = english.select(stem_words(clean_text(F.col("text"))).alias("text"))
+    """Stem counts of all documents."""
+    stemmed = documents(spark, sf, "text").select(stem_words(clean_text(F.col("text"))).alias("text"))
     return (
         stemmed.select(F.explode(F.split("text", " ")).alias("stem"))
         .groupBy("stem")

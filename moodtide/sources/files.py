@@ -94,10 +94,11 @@ def relative_paths(listing: DataFrame, anchor: str = "jobs/") -> DataFrame:
 def results_csv(spark: SparkSession, path: str) -> DataFrame:
     """Stored predictions with their place in the file as `seq`.
 
-    Result files may be split over tasks, so the order is kept as file, split
-    offset and row number within the split.
+    Result files may be split over tasks, so the order is kept as number of
+    the part, file, split offset and row number within the split.
     """
     place = F.struct(
+        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("bigint").alias("part"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -16,7 +16,6 @@ from moodtide.operators.search import TWEETS_LIMIT, fan_out
 
 # Fixed values, needed for equal results.
 WINDOW_SECONDS = 10
-MAX_AGE = "600 seconds"
 
 WINDOW = f"{WINDOW_SECONDS} seconds"
 
@@ -43,9 +42,9 @@ def sentiment_stream(raw: DataFrame, model: PipelineModel) -> DataFrame:
     return sentiment_rows(score_messages(clean_messages(raw), model))
 
 
-def fresh_events(events: DataFrame, time_col: str, max_age: float) -> DataFrame:
-    """Drop events older than `max_age` seconds when they are processed."""
-    return events.where(within_age(F.col(time_col), max_age))
+def fresh_events(events: DataFrame, time_col: str, max_age: float, as_of: Column | None = None) -> DataFrame:
+    """Drop events older than `max_age` seconds when they are processed, or at the time `as_of`."""
+    return events.where(within_age(F.col(time_col), max_age, as_of))
 
 
 def tag_window(rows: DataFrame, time_col: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -59,9 +58,12 @@ def tag_window(rows: DataFrame, time_col: str, seconds: int = WINDOW_SECONDS) ->
 
 
 def windowed_sentiment(
-    rows: DataFrame, time_col: str, value_col: str, lateness: str = MAX_AGE, width: str = WINDOW
+    rows: DataFrame, time_col: str, value_col: str, lateness: str, width: str = WINDOW
 ) -> DataFrame:
-    """Mean and count per window; state older than the lateness is released."""
+    """Mean and count per window, for inputs whose lateness is known: later rows are dropped.
+
+    `append_window_parts` drops nothing.
+    """
     timed = rows.where(F.col(time_col).isNotNull()).withColumn("_at", F.col(time_col).cast("timestamp"))
     return (
         timed.withWatermark("_at", lateness)
@@ -108,6 +110,37 @@ def update_windows(
     return _started(writer, checkpoint, once, interval).start()
 
 
+def append_window_parts(
+    rows: DataFrame,
+    time_col: str,
+    value_col: str,
+    path: str,
+    checkpoint: str,
+    seconds: int = WINDOW_SECONDS,
+    once: bool = False,
+    interval: str = WINDOW,
+) -> StreamingQuery:
+    """Write the sum and count of each window and batch.
+
+    No state is kept, so no row is ever too late; a repeated batch overwrites
+    its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        timed = tag_window(batch.where(F.col(time_col).isNotNull()), time_col, seconds)
+        parts = timed.groupBy("window_start").agg(F.sum(value_col).alias("total"), F.count(value_col).alias("valued"), F.count(F.lit(1)).alias("n"))
+        parts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _started(rows.writeStream.foreachBatch(write), checkpoint, once, interval).start()
+
+
+def merged_windows(parts: DataFrame) -> DataFrame:
+    """Mean and count of each window over all batches."""
+    return parts.groupBy("window_start").agg(
+        F.try_divide(F.sum("total"), F.sum("valued")).alias("mean_value"), F.sum("n").alias("n")
+    )
+
+
 def newest_windows(versions: DataFrame) -> DataFrame:
     """The last written version of each window."""
     return versions.groupBy("window_start").agg(
@@ -130,7 +163,7 @@ def fan_out_stream(
 ) -> StreamingQuery:
     """Every job against each batch of arriving tweets, gated, as messages.
 
-    The limit holds per batch, as it holds per trigger.  A batch that is
+    The limit holds per batch, as it holds per trigger, so the rows depend on the batches.  A batch that is
     repeated after a failure overwrites its own folder.
     """
 
@@ -143,9 +176,11 @@ def fan_out_stream(
     return _started(writer, checkpoint, once, interval).start()
 
 
-def finish(query: StreamingQuery, timeout: float = 3600.0) -> None:
-    """Block until the query ends and raise what made it fail."""
-    if not query.awaitTermination(timeout):
+def finish(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Block until the query ends, however long unless told otherwise, and raise what made it fail."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not end within {timeout} s")
     if query.exception():

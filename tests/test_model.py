@@ -108,14 +108,13 @@ def test_windows_over_several_batches(spark, tmp_path):
     with_null = rows.unionByName(spark.sql("SELECT cast(null AS timestamp) AS ts, 1D AS value"))
     with_null.repartition(6).write.parquet(str(tmp_path / "in"))
     stream = table_files(spark, str(tmp_path / "in"), rows.schema, 2)
-    windows = flows.windowed_sentiment(stream, "ts", "value")
-    flows.finish(flows.update_windows(windows, str(tmp_path / "out"), str(tmp_path / "check"), once=True))
+    flows.finish(flows.append_window_parts(stream, "ts", "value", str(tmp_path / "out"), str(tmp_path / "check"), once=True))
     versions = spark.read.parquet(str(tmp_path / "out"))
     assert versions.select("batch").distinct().count() > 1
     expected = rows.groupBy(F.window("ts", "10 seconds").start.alias("window_start")).agg(
         F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n")
     )
-    found = flows.newest_windows(versions)
+    found = flows.merged_windows(versions)
     assert found.count() == expected.count() == expected.join(found, ["window_start", "n"]).count()
 
 
