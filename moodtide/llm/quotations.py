@@ -130,29 +130,40 @@ def reply_roots(parents: DataFrame) -> DataFrame:
     """First message and depth of each reply; `parents` has one row per `thread` and `place`, its `parent` or null.
 
     Each round doubles the distance looked back, so the rounds grow with the
-    logarithm of the longest chain of replies.
+    logarithm of the longest chain of replies.  Only replies whose beginning is still open are
+    joined, and only to messages of threads that hold such replies; all others are left
+    in the tables written before.
     """
-    now = stored(
+    start = stored(
         parents.select(
-            "thread", "place", F.coalesce("parent", "place").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")
+            "thread",
+            "place",
+            F.coalesce("parent", "place").alias("root"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
+            F.col("parent").isNotNull().alias("open"),
         ),
         "replies",
     )
-    while True:
-        back = now.select("thread", F.col("place").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        now = stored(
-            now.join(back, ["thread", "root"], "left").select(
+    known, still = start.where("NOT open"), start.where("open")
+    while not still.isEmpty():
+        live = known.unionByName(still).join(still.select("thread").distinct(), "thread", "left_semi")
+        back = live.select(
+            "thread", F.col("place").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("open").alias("goes_on")
+        )
+        step = stored(
+            still.drop("open")
+            .join(back, ["thread", "root"], "left")
+            .select(
                 "thread",
                 "place",
                 F.coalesce("next", "root").alias("root"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.coalesce("more", F.lit(0)) > 0).alias("moved"),
+                F.coalesce("goes_on", F.lit(False)).alias("open"),
             ),
             "replies",
         )
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+        known, still = known.unionByName(step.where("NOT open")), step.where("open")
+    return known.drop("open")
 
 
 def numbered(rows: DataFrame, keys: list[str], run: int = RUN) -> DataFrame:
