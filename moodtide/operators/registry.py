@@ -43,32 +43,43 @@ def files_of_job(paths: DataFrame, query: str, exact: bool = True) -> DataFrame:
 
 
 def artefacts_by_job(paths: DataFrame) -> DataFrame:
-    """One row per job directory with the files found in it."""
+    """One row per job with the files found in its directory; encoded names are decoded, as in `all_jobs`."""
 
     def has(name: str):
         return F.coalesce(F.max(F.endswith(F.col("path"), F.lit("/" + name))), F.lit(False))
 
-    return paths.groupBy(job_id_of(F.col("path")).alias("job_id")).agg(
+    return paths.groupBy(decode_job_id(job_id_of(F.col("path"))).alias("job_id")).agg(
         has(META_FILE).alias("has_meta"),
         has(RESULTS_FILE).alias("has_results"),
         has(ERROR_FILE).alias("has_error"),
     )
 
 
-def job_status(jobs: DataFrame, paths: DataFrame) -> DataFrame:
-    """State of each job: error, done, in_progress, or missing when it left no file."""
+def job_status(jobs: DataFrame, paths: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """State of each job: error, done, in_progress, or missing when it left no file.
+
+    Listings by Spark leave out names that begin with an underscore, as error
+    markers do, so failures come from their own table; `paths` from elsewhere may hold markers too.
+    """
+    found = artefacts_by_job(paths)
+    if failures is not None:
+        # One row per job and side, so the join needs no second look at the files.
+        failed = failures.groupBy("job_id").agg(F.lit(True).alias("failed"))
+        found = found.join(failed, "job_id", "full").withColumn(
+            "has_error", F.coalesce("failed", F.lit(False)) | F.coalesce("has_error", F.lit(False))
+        )
     status = (
         F.when(F.col("has_error"), "error")
         .when(F.col("has_results"), "done")
         .when(F.col("has_meta").isNotNull(), "in_progress")
         .otherwise("missing")
     )
-    return jobs.join(artefacts_by_job(paths), "job_id", "left").select("job_id", status.alias("status"))
+    return jobs.join(found, "job_id", "left").select("job_id", status.alias("status"))
 
 
-def analysed_jobs(jobs: DataFrame, paths: DataFrame) -> DataFrame:
+def analysed_jobs(jobs: DataFrame, paths: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Jobs that exist and carry no error marker."""
-    return job_status(jobs, paths).where(F.col("status").isin("done", "in_progress")).select("job_id")
+    return job_status(jobs, paths, failures).where(F.col("status").isin("done", "in_progress")).select("job_id")
 
 
 def attach_meta(files: DataFrame, metas: DataFrame) -> DataFrame:

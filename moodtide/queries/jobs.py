@@ -19,6 +19,9 @@ from moodtide.operators.registry import (
 from moodtide.operators.search import fan_out, in_language, match_phrases, search
 from moodtide.plans.collecting import collect_tweets, recent_events
 from moodtide.queries.base import EVENT_JOBS_SQL, JOBS_SQL, TWEETS_SQL, documents, event_jobs, gate_words_sql, query, search_jobs, tweets
+from moodtide.session import scratch_path
+from moodtide.sinks import files as sinks
+from moodtide.sources import files as sources
 from moodtide.sources.files import table
 
 _PHRASE = "that"
@@ -200,6 +203,17 @@ def statuses(spark, sf):
     return job_status(_known_jobs(spark, sf), event_jobs(spark, sf).select("path"))
 
 
+@query("job_status_from_files", f"SELECT * FROM {_STATUS_SQL}")
+def stored_statuses(spark, sf):
+    """The same from a stored table of artefacts, without markers, and the table of failures."""
+    listed, failed = scratch_path(spark, "artefacts"), scratch_path(spark, "failures")
+    found = event_jobs(spark, sf)
+    found.where("event_type <> 'error' OR event_type IS NULL").select("path").distinct().write.parquet(listed)
+    errors = found.where("event_type = 'error'").select("job_id", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"))
+    sinks.store_failures(errors, failed)
+    return job_status(_known_jobs(spark, sf), spark.read.schema("path string").parquet(listed), sources.failures(spark, failed))
+
+
 def _requests(spark, sf):
     """One request per event and per conversation turn."""
     kind = F.when(F.col("event_type") == "view", "stream").otherwise("batch")

@@ -97,6 +97,11 @@ def save_report(report: DataFrame, root: str, version: str = DEFAULT_MODEL_VERSI
     return path
 
 
+def store_failures(failures: DataFrame, path: str) -> None:
+    """Append error markers (`job_id`, `message`) to the table that `sources.files.failures` reads."""
+    failures.select("job_id", "message").write.mode("append").json(path)
+
+
 def recording_failure(
     spark: SparkSession, job_id: str, errors_path: str, work: Callable[[], Result]
 ) -> Result:
@@ -105,5 +110,5 @@ def recording_failure(
         return work()
     except Exception as error:
         marker = spark.createDataFrame([(job_id, str(error))], "job_id string, message string")
-        marker.write.mode("append").json(errors_path)
+        store_failures(marker, errors_path)
         raise

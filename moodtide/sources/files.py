@@ -85,6 +85,11 @@ def object_listing(spark: SparkSession, path: str, name_filter: str | None = Non
     return reader.load(path).select("path", "modificationTime", "length")
 
 
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """Error markers of failed jobs, as `sinks.files.store_failures` leaves them."""
+    return spark.read.schema("job_id string, message string").json(path)
+
+
 def relative_paths(listing: DataFrame, anchor: str = "jobs/") -> DataFrame:
     """Paths from the last `anchor` folder on, as object stores name them."""
     start = F.regexp_extract(F.col("path"), f"^(?:.*/)?({anchor}.*)$", 1)

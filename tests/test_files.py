@@ -1,5 +1,6 @@
 """Sources, sinks and the scratch folder."""
 
+import base64
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from moodtide import session
 from moodtide.operators.records import decode_trigger, result_lines
+from moodtide.operators.registry import analysed_jobs, job_status
 from moodtide.sinks import files as sinks
 from moodtide.sources import files as sources
 
@@ -80,9 +82,29 @@ def test_failure_leaves_a_marker_and_is_raised(spark, tmp_path):
     assert sinks.recording_failure(spark, "j2", path, lambda: 7) == 7
 
 
-def test_trigger_payload(values):
-    import base64
+def test_status_of_listed_files_and_failures(spark, tmp_path):
+    encoded = "base64:" + base64.b64encode(b"a b").decode()
+    for job in ("done", "failed", "begun", encoded):
+        folder = tmp_path / "jobs" / job
+        folder.mkdir(parents=True)
+        (folder / "meta.json").write_text("{}")
+        if job != "begun":
+            (folder / "results.csv").write_text("2021-02-02 09:17:35, 4.0\n")
+    (tmp_path / "jobs" / "failed" / "_error").touch()
+    errors = str(tmp_path / "errors")
+    for job in ("failed", "failed", "gone"):
+        with pytest.raises(ZeroDivisionError):
+            sinks.recording_failure(spark, job, errors, lambda: 1 / 0)
+    listing = sources.relative_paths(sources.object_listing(spark, str(tmp_path / "jobs")))
+    jobs = spark.createDataFrame([(job,) for job in ("done", "failed", "begun", "a b", "gone", "never")], "job_id string")
+    failed = sources.failures(spark, errors)
+    assert dict(map(tuple, job_status(jobs, listing, failed).collect())) == {
+        "done": "done", "failed": "error", "begun": "in_progress", "a b": "done", "gone": "error", "never": "missing",
+    }
+    assert {row["job_id"] for row in analysed_jobs(jobs, listing, failed).collect()} == {"done", "begun", "a b"}
+
 
+def test_trigger_payload(values):
     record = {"job_id": "j", "query": "some phrase", "created_at": "2021"}
     payload = base64.b64encode(json.dumps(record).encode()).decode()
     assert [row.asDict() for row in values(decode_trigger, [payload])] == [record]
