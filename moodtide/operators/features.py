@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodtide.functions.binding import bind
@@ -43,14 +43,14 @@ def all_ngrams(tokens: Column, longest: int = LONGEST_NGRAM) -> Column:
     return bind(tokens, lambda bound: extend(bound, bound, 1))
 
 
-def _terms(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+def _terms(df: DataFrame, terms: Column) -> DataFrame:
     """One row per term.
 
     The outer form is taken because the inner one makes the optimizer add a
     filter on the array size, which is pushed down to the scan and computes
     every array a second time.
     """
-    return df.select(*keep, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+    return df.select(F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
 
 
 def corpus_counts(df: DataFrame, terms_col: str) -> DataFrame:
@@ -59,15 +59,43 @@ def corpus_counts(df: DataFrame, terms_col: str) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, terms_col: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms; equal counts in alphabetical order."""
-    return corpus_counts(df, terms_col).orderBy(F.desc("cnt"), "term").limit(size)
+    """The most frequent terms; equal counts in alphabetical order.
+
+    The count that the last of them must reach is found first, from the number
+    of terms per count: these are few, as n different counts need n * n / 2
+    occurrences.  Only terms that reach it are sorted.  Both parts read the
+    same shuffle.
+    """
+    counts = corpus_counts(df, terms_col)
+    held = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("terms"))
+    reached = held.select("cnt", F.sum("terms").over(Window.orderBy(F.desc("cnt"))).alias("reached"))
+    last = reached.where(F.col("reached") >= size).agg(F.coalesce(F.max("cnt"), F.lit(0)).alias("cnt"))
+    return counts.where(F.col("cnt") >= last.scalar()).orderBy(F.desc("cnt"), "term").limit(size)
+
+
+def _tally(terms: Column) -> Column:
+    """Distinct elements of an array with their number, from the runs of the sorted array."""
+
+    def runs(ordered: Column) -> Column:
+        changes = F.transform(ordered, lambda term, at: F.when((at == 0) | (term != F.get(ordered, at - 1)), at))
+        starts = F.filter(changes, lambda at: at.isNotNull())
+
+        def count(bound: Column) -> Column:
+            def run(start: Column, number: Column) -> Column:
+                end = F.coalesce(F.get(bound, number + 1), F.size(ordered))
+                return F.struct(F.get(ordered, start).alias("term"), (end - start).cast("bigint").alias("cnt"))
+
+            return F.transform(bound, run)
+
+        return bind(starts, count)
+
+    return bind(F.sort_array(terms), runs)
 
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """Occurrences of each term in each row; `terms` is an array expression over the row.
 
-    Rows are placed by id before the expression is evaluated: a text is
-    smaller than its n-grams, and counting then needs no further shuffle.
+    Counted inside the row, so nothing is shuffled.  Rows that share an id are counted apart.
     """
-    placed = _terms(df.repartition(id_col), terms, id_col)
-    return placed.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
+    tallied = df.select(id_col, F.explode_outer(_tally(terms)).alias("run"))
+    return tallied.where(F.col("run").isNotNull()).select(id_col, "run.term", "run.cnt")
