@@ -26,6 +26,11 @@ def content_gate(df: DataFrame, text_col: str = "text", min_words: int = BATCH_M
     return gated.withColumn(text_col, join_words(F.col(text_col)))
 
 
+def not_empty(df: DataFrame, text_col: str = "text_clean") -> DataFrame:
+    """Rows whose text is still there after cleaning."""
+    return df.where(F.col(text_col) != "")
+
+
 def gate_counts(df: DataFrame, by: str, text_col: str = "text", min_words: int = BATCH_MIN_WORDS) -> DataFrame:
     """Rows before and after the gate per group, in one pass."""
     kept = F.size(words_longer_than(whitelist(F.col(text_col)), SHORT_WORD)) >= min_words

@@ -9,13 +9,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from moodtide.operators.features import VOCABULARY_SIZE, vocabulary
+from moodtide.operators.gate import not_empty
 from moodtide.operators.metrics import accuracy, class_report
 from moodtide.operators.splits import recode_label, stable_split
 from moodtide.plans.stages import TextCleaner
-from moodtide.sinks.files import save_model, save_report, save_scores
+from moodtide.sinks.files import save_held_out, save_model, save_report, save_scores
 from moodtide.sources.files import DEFAULT_MODEL_VERSION, load_model
 
 # Fixed values, needed for equal results.
@@ -81,7 +81,7 @@ def fit(train: DataFrame, settings: Settings, stages: list[Transformer] | None =
         recode_label(F.col("sentiment")).cast("double").alias("label"), "text_clean", "c_words"
     )
     if settings.drop_empty:
-        prepared = prepared.where(F.col("text_clean") != "")
+        prepared = not_empty(prepared)
     terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
     counter = CountVectorizer(inputCol="c_words", outputCol="features", vocabSize=settings.vocabulary_size)
     vectorizer = counter.fit(terms.select(F.array("term").alias("c_words")))
@@ -107,18 +107,15 @@ def train_and_store(
 ) -> tuple[PipelineModel, DataFrame]:
     """Split, fit, score on the held-out part, and store the model with its score and class report.
 
-    Returns the model and the held-out predictions.  What is scored is the
-    model as read back, which no longer holds its training summary and
-    therefore drags no session state into the tasks.
+    Returns the model and the held-out predictions, which are a table next to
+    the model: nothing is scored twice.  What is scored is the model as read
+    back, which no longer holds its training summary and therefore drags no
+    session state into the tasks.
     """
     train, test = stable_split(labelled, id_col)
     save_model(fit(train, settings, stages), root, version)
     model = load_model(root, version)
-    predicted = model.transform(test).select(id_col, "sentiment", "prediction")
-    predicted.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        save_scores(accuracy(predicted), root, version)
-        save_report(class_report(predicted), root, version)
-    finally:
-        predicted.unpersist()
+    predicted = save_held_out(model.transform(test).select(id_col, "sentiment", "prediction"), root, version)
+    save_scores(accuracy(predicted), root, version)
+    save_report(class_report(predicted), root, version)
     return model, predicted

@@ -6,13 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodtide.functions.stopped import STOP_WORDS
 from moodtide.operators.metrics import accuracy, class_report, confusion
 from moodtide.operators.records import result_lines
-from moodtide.operators.splits import random_split
+from moodtide.operators.splits import random_split, stable_split
 from moodtide.plans.analysis import analyse_jobs
 from moodtide.plans.scoring import predict, predict_elsewhere, predict_file
-from moodtide.plans.training import Settings, train_and_store, unigram_stages
-from moodtide.queries.base import documents, labelled, query, search_jobs, tweets
+from moodtide.plans.training import Settings, fit, train_and_store, unigram_stages
+from moodtide.queries.base import TWEET_TIME_SQL, clean_sql, documents, labelled, query, search_jobs, terms_sql, tokens_sql, tweets
 from moodtide.session import scratch_path
 from moodtide.sinks import files as sinks
 from moodtide.sources.files import load_model
@@ -31,6 +32,61 @@ def fitted(spark: SparkSession, sf: str) -> tuple[str, PipelineModel, DataFrame]
     return _fitted[key]
 
 
+_LABELLED_SQL = "(SELECT doc_id, text, quality * 4 AS sentiment FROM documents JOIN labels USING (doc_id))"
+
+
+def _part_sql(part: str) -> str:
+    """The labelled documents of one part of the split."""
+    sign = "<" if part == "train" else ">="
+    return f"(SELECT * FROM {_LABELLED_SQL} WHERE left(md5('100500:' || CAST(doc_id AS VARCHAR)), 8) {sign} 'cccccccc')"
+
+
+def _terms_of(spark, model: PipelineModel) -> DataFrame:
+    """The vocabulary of a fitted model, as large as its settings allow."""
+    listed = next(stage.vocabulary for stage in model.stages if hasattr(stage, "vocabulary"))
+    return spark.createDataFrame([(term,) for term in listed], "term string")
+
+
+@query(
+    "train_vocabulary",
+    f"""SELECT term FROM {terms_sql(f"(SELECT doc_id, {tokens_sql(clean_sql('text'))} AS w FROM {_part_sql('train')})")}
+        GROUP BY term ORDER BY count(*) DESC, term LIMIT 80000""",
+)
+def train_vocabulary(spark, sf):
+    """The terms that the stored model knows: the most frequent ones of the training part."""
+    root, _, _ = fitted(spark, sf)
+    return _terms_of(spark, load_model(root))
+
+
+@query("held_out", f"SELECT doc_id, sentiment, true AS coded FROM {_part_sql('test')}")
+def held_out(spark, sf):
+    """Stored held-out rows; every prediction is one of the two codes."""
+    _, _, predicted = fitted(spark, sf)
+    return predicted.select("doc_id", "sentiment", F.col("prediction").isin(0.0, 4.0).alias("coded"))
+
+
+@query(
+    "stored_report_support",
+    f"""SELECT CAST(sentiment AS VARCHAR) AS class, count(*) AS support, true AS same FROM {_part_sql('test')} GROUP BY sentiment
+        UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*), true FROM {_part_sql('test')}""",
+)
+def stored_report_support(spark, sf):
+    """The stored class report: its rows and supports, and whether its figures follow from the stored predictions."""
+    root, _, predicted = fitted(spark, sf)
+    spark_report = spark.read.json(f"{root}/models/v5/report")
+    classes = predicted.groupBy("sentiment").agg(
+        F.count(F.lit(1)).alias("held"), F.avg((F.col("prediction") == F.col("sentiment")).cast("double")).alias("found")
+    )
+    classes = classes.select(F.col("sentiment").cast("string").alias("class"), "held", "found")
+    every = predicted.agg(F.count(F.lit(1)).alias("held"), F.avg((F.col("prediction") == F.col("sentiment")).cast("double")).alias("found"))
+    # The weighted recall is the accuracy; the macro recall is the plain mean over the classes.
+    weighted = every.select(F.lit("weighted avg").alias("class"), "held", "found")
+    macro = classes.agg(F.lit("macro avg").alias("class"), F.sum("held").alias("held"), F.avg("found").alias("found"))
+    again = classes.unionByName(weighted).unionByName(macro)
+    same = (F.abs(F.col("recall") - F.col("found")) < 1e-9) & (F.col("support") == F.col("held"))
+    return spark_report.join(again, "class", "left").select("class", "support", F.coalesce(same, F.lit(False)).alias("same"))
+
+
 @query("train_eval")
 def train_eval(spark, sf):
     """Accuracy on the held-out part."""
@@ -59,14 +115,25 @@ def model_report(spark, sf):
 
 @query("model_roundtrip", "SELECT true AS same, count(*) AS n FROM documents")
 def model_roundtrip(spark, sf):
-    """Documents on which two loads of the stored model agree: all of them."""
-    root, model, _ = fitted(spark, sf)
+    """Documents on which the model agrees before it is stored and after it is loaded: all of them."""
+    root = scratch_path(spark, "roundtrip")
+    train, _ = stable_split(labelled(spark, sf), "doc_id")
+    model = fit(train, Settings())
+    sinks.save_model(model, root)
     texts = documents(spark, sf, "doc_id", "text")
     kept = predict(texts, model, ["doc_id"])
     loaded = predict(texts, load_model(root), ["doc_id"]).withColumnRenamed("prediction", "reloaded")
     return kept.join(loaded, "doc_id").groupBy((F.col("prediction") == F.col("reloaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("predicted_times", f"SELECT {TWEET_TIME_SQL} AS dt, true AS coded FROM documents")
+def predicted_times(spark, sf):
+    """The result lines taken apart: a time and one of the two codes in each."""
+    parts = F.split("value", ", ")
+    coded = F.get(parts, 1).isin("0.0", "4.0") & (F.size(parts) == 2)
+    return predict_lines(spark, sf).select(F.get(parts, 0).alias("dt"), coded.alias("coded"))
+
+
 @query("predict_lines")
 def predict_lines(spark, sf):
     """Every document scored, as result lines."""
@@ -90,6 +157,17 @@ def predict_from_file(spark, sf):
     return spark.read.text(target)
 
 
+@query("predict_file_differences", "SELECT count(*) AS lines, 0::BIGINT AS differences FROM documents")
+def predict_file_differences(spark, sf):
+    """Lines of a result file, and how many differ from scoring the table itself."""
+    tagged = predict_from_file(spark, sf).withColumn("side", F.lit(1)).unionByName(predict_lines(spark, sf).select("value", F.lit(-1).alias("side")))
+    return (
+        tagged.groupBy("value")
+        .agg(F.sum("side").alias("excess"), F.count_if(F.col("side") == 1).alias("lines"))
+        .agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.abs("excess")), F.lit(0)).alias("differences"))
+    )
+
+
 @query("train_unigrams")
 def train_unigrams(spark, sf):
     """The second model: single words without stop words."""
@@ -108,6 +186,30 @@ def train_raw_text(spark, sf):
     return accuracy(predicted)
 
 
+_STOP_WORDS_SQL = "['" + "', '".join(word.replace("'", "''") for word in STOP_WORDS) + "']"
+
+
+@query(
+    "unigram_vocabulary",
+    f"""SELECT term FROM (SELECT unnest(list_filter({tokens_sql(clean_sql('text'))},
+                                 lambda w: length(w) > 1 AND NOT list_contains({_STOP_WORDS_SQL}, w))) AS term
+                      FROM {_part_sql('train')})
+        GROUP BY term ORDER BY count(*) DESC, term LIMIT 100000""",
+)
+def unigram_vocabulary(spark, sf):
+    """The terms of the second model, with the stop words of the second cleaner."""
+    train, _ = stable_split(labelled(spark, sf), "doc_id")
+    settings = Settings(vocabulary_size=100_000)
+    return _terms_of(spark, fit(train, settings, unigram_stages(settings, STOP_WORDS)))
+
+
+@query("split_random_parts", "SELECT doc_id, 1::BIGINT AS parts FROM labels")
+def split_random_parts(spark, sf):
+    """Every row falls into one part of the random split."""
+    train, test = random_split(table(spark, sf, "labels"))
+    return train.unionByName(test).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
+
+
 @query("split_random")
 def split_random(spark, sf):
     train, test = random_split(table(spark, sf, "labels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moodtide.functions.timestamps import format_timestamp
-from moodtide.operators.records import parse_messages, sentiment_rows
+from moodtide.operators.records import parse_messages, sentiment_rows, to_json_lines
 from moodtide.queries.base import JOBS_SQL, MESSAGES_SQL, TWEETS_SQL, clean_sql, gate_words_sql, message_rows, query, search_jobs, tweets
 from moodtide.queries.model import fitted
 from moodtide.session import scratch_path
@@ -64,6 +64,39 @@ def stream_predict(spark, sf):
     return _drained(spark, rows, "scored")
 
 
+@query(
+    "stream_predict_checked",
+    f"""SELECT {clean_sql('text')} AS text, created_at, job_id, query, job_created_at, true AS same FROM {MESSAGES_SQL}""",
+)
+def stream_predict_checked(spark, sf):
+    """Streamed rows, and whether each has the sentiment that scoring the turns as a batch gives its text."""
+    root, _, _ = fitted(spark, sf)
+    batch = flows.clean_messages(to_json_lines(message_rows(spark, sf))).select(F.col("tweet.text").alias("text")).distinct()
+    scored = load_model(root).transform(batch).select(F.col("text").alias("batch_text"), F.col("prediction").cast("int").alias("expected"))
+    rows = stream_predict(spark, sf)
+    return rows.join(scored, F.col("text") == F.col("batch_text"), "left").select(
+        "text",
+        format_timestamp(F.col("created_at")).alias("created_at"),
+        "job.job_id",
+        "job.query",
+        format_timestamp(F.col("job.created_at")).alias("job_created_at"),
+        F.coalesce(F.col("sentiment") == F.col("expected"), F.lit(False)).alias("same"),
+    )
+
+
+@query("stream_unreadable", f"SELECT job_id || ':' || text AS value FROM {MESSAGES_SQL} WHERE query = 'user'")
+def stream_unreadable(spark, sf):
+    """Messages that cannot be read go to a table of their own, unchanged; here those of one role are no JSON."""
+    path = scratch_path(spark, "topic")
+    good = F.to_json(F.struct("tweet", "job_config"))
+    broken = F.concat_ws(":", "job_config.job_id", "tweet.text")
+    bad = F.col("job_config.query") == "user"
+    # A table, because a message may hold line breaks.
+    message_rows(spark, sf).select(F.when(bad, broken).otherwise(good).alias("value")).write.parquet(path)
+    arriving = table_files(spark, path, spark.read.parquet(path).schema)
+    return _drained(spark, flows.unreadable_messages(arriving).select("value"), "unreadable")
+
+
 _WINDOW_SQL = "strftime(to_timestamp(floor(epoch(ts) / 10) * 10) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
 
 

@@ -10,7 +10,7 @@ from moodtide.functions.html import html_text
 from moodtide.functions.stemming import stem_words
 from moodtide.functions.stopped import STOP_WORDS, second_clean, stopped_text, strip_at_signs, strip_http
 from moodtide.functions.words import join_words, whitelist, word_character_tokens, words_longer_than
-from moodtide.operators.gate import STREAM_MIN_WORDS, content_gate, gate_counts
+from moodtide.operators.gate import STREAM_MIN_WORDS, content_gate, gate_counts, not_empty
 from moodtide.queries.base import (
     TWEETS_SQL,
     clean_sql,
@@ -115,6 +115,18 @@ def second_clean_nostem(spark, sf):
     return second_clean(tweets(spark, sf).select("doc_id", "text"), stems=False).select("doc_id", "text_clean")
 
 
+_MENTIONS_SQL = "(SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '@u' || CAST(user_id AS VARCHAR) ELSE event_type || ' ' || props END AS text FROM events)"
+
+
+@query("not_empty", f"SELECT event_id, text_clean FROM (SELECT event_id, {clean_sql('text')} AS text_clean FROM {_MENTIONS_SQL}) WHERE text_clean <> ''")
+def not_empty_texts(spark, sf):
+    """Texts of which something is left; those of a mention alone are not."""
+    mention = F.concat(F.lit("@u"), F.col("user_id").cast("string"))
+    text = F.when(F.col("user_id") % 3 == 0, mention).otherwise(F.concat("event_type", F.lit(" "), "props"))
+    cleaned = table(spark, sf, "events").select("event_id", clean_text(text).alias("text_clean"))
+    return not_empty(cleaned)
+
+
 @query("second_clean")
 def second_clean_stemmed(spark, sf):
     return second_clean(tweets(spark, sf).select("doc_id", "text")).select("doc_id", "text_clean")

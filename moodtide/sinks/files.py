@@ -83,6 +83,13 @@ def save_model(model: PipelineModel, root: str, version: str = DEFAULT_MODEL_VER
     return path
 
 
+def save_held_out(predicted: DataFrame, root: str, version: str = DEFAULT_MODEL_VERSION) -> DataFrame:
+    """Held-out predictions next to the model, and the table read back."""
+    path = f"{root}/models/{version}/held_out"
+    predicted.write.mode("overwrite").parquet(path)
+    return predicted.sparkSession.read.schema(predicted.schema).parquet(path)
+
+
 def save_scores(scores: DataFrame, root: str, version: str = DEFAULT_MODEL_VERSION) -> str:
     """Evaluation figures next to the model, as JSON."""
     path = f"{root}/models/{version}/scores"
