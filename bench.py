@@ -16,7 +16,8 @@ from moodtide.session import build_session  # noqa: E402
 HEADLINE = (
     "clean_by_lang clean_text clean_pages html_text second_clean_nostem second_clean gate_batch tokenize ngrams "
     "vocab_topk term_counts job_fanout match_phrases_indexed job_status new_jobs validate_query last_per_ts "
-    "chunk_mean5_seconds global_chunks class_report stream_clean_append stream_window10s"
+    "chunk_mean5_seconds global_chunks class_report stream_clean_append stream_window10s "
+    "job_trend results_trend match_phrases match_phrases_shuffled stream_fanout train_eval predict_lines stream_predict analyse_jobs"
 ).split()
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

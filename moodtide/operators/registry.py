@@ -55,31 +55,35 @@ def artefacts_by_job(paths: DataFrame) -> DataFrame:
     )
 
 
+def _found(paths: DataFrame, failures: DataFrame | None) -> DataFrame:
+    """Artefacts of each job, with failures from their own table taken in."""
+    found = artefacts_by_job(paths)
+    if failures is None:
+        return found
+    # One row per job and side, so the join needs no second look at the files.
+    failed = failures.groupBy("job_id").agg(F.lit(True).alias("failed"))
+    has_error = F.coalesce("failed", F.lit(False)) | F.coalesce("has_error", F.lit(False))
+    return found.join(failed, "job_id", "full").withColumn("has_error", has_error)
+
+
 def job_status(jobs: DataFrame, paths: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """State of each job: error, done, in_progress, or missing when it left no file.
 
     Listings by Spark leave out names that begin with an underscore, as error
     markers do, so failures come from their own table; `paths` from elsewhere may hold markers too.
     """
-    found = artefacts_by_job(paths)
-    if failures is not None:
-        # One row per job and side, so the join needs no second look at the files.
-        failed = failures.groupBy("job_id").agg(F.lit(True).alias("failed"))
-        found = found.join(failed, "job_id", "full").withColumn(
-            "has_error", F.coalesce("failed", F.lit(False)) | F.coalesce("has_error", F.lit(False))
-        )
     status = (
         F.when(F.col("has_error"), "error")
         .when(F.col("has_results"), "done")
         .when(F.col("has_meta").isNotNull(), "in_progress")
         .otherwise("missing")
     )
-    return jobs.join(found, "job_id", "left").select("job_id", status.alias("status"))
+    return jobs.join(_found(paths, failures), "job_id", "left").select("job_id", status.alias("status"))
 
 
-def analysed_jobs(jobs: DataFrame, paths: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Jobs that exist and carry no error marker."""
-    return job_status(jobs, paths, failures).where(F.col("status").isin("done", "in_progress")).select("job_id")
+def analysed_jobs(paths: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Jobs that left files and carry no error marker: one aggregate over the listing."""
+    return _found(paths, failures).where(~F.col("has_error")).select("job_id")
 
 
 def attach_meta(files: DataFrame, metas: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodtide.functions.binding import bind
-from moodtide.operators.sizing import broadcast_if_small, measure
+from moodtide.operators.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, measure
 
 # Fixed values, needed for equal results.
 LANGUAGE = "en"
@@ -65,6 +65,17 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), 1))
 
 
+def _gram_size(phrase: Column) -> Column:
+    """Length of the character run that a phrase is looked up by."""
+    return F.least(F.length(phrase), F.lit(LONGEST_GRAM))
+
+
+def _phrase_grams(phrase: Column) -> Column:
+    """Distinct runs of a phrase, as long as the phrase allows."""
+    starts = F.sequence(F.lit(1), F.length(phrase) - _gram_size(phrase) + 1)
+    return F.array_distinct(F.transform(starts, lambda at: F.substr(phrase, at, _gram_size(phrase))))
+
+
 def _direct_matches(texts: DataFrame, phrases: list[str], text_col: str) -> DataFrame:
     """Test every phrase of a short list against each text, without a join."""
     listed = F.array(*[F.lit(phrase) for phrase in phrases]).cast("array<string>")
@@ -76,15 +87,17 @@ def _direct_matches(texts: DataFrame, phrases: list[str], text_col: str) -> Data
 
 
 def _anchored_matches(
-    texts: DataFrame, phrases: DataFrame, text_col: str, id_col: str, gram_size: int, broadcast: bool
+    texts: DataFrame, phrases: DataFrame, text_col: str, id_col: str, gram_sizes: list[int], broadcast: bool
 ) -> DataFrame:
     """Equi-join on one character run of each phrase, then verify.
 
     A text that contains a phrase contains each of its runs, so a single run
     per phrase finds every match.  The run shared with the fewest other
     phrases is taken, which keeps the number of candidates per text low.
+    Runs have up to `LONGEST_GRAM` characters; texts are cut into runs of each
+    length in use, so a phrase of one letter does not shorten the others' runs.
     """
-    runs = phrases.select("phrase", F.explode(_grams(F.col("phrase"), gram_size)).alias("gram"))
+    runs = phrases.select("phrase", F.explode(_phrase_grams(F.col("phrase"))).alias("gram"))
     shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("sharing"))
     # Among equals the last in the alphabet: runs with spaces, the most common in texts, come first.
     anchors = (
@@ -93,7 +106,7 @@ def _anchored_matches(
         .agg(F.max_by("gram", F.struct(-F.col("sharing"), "gram")).alias("gram"))
     )
     lowered = texts.withColumn("_lowered", F.lower(F.col(text_col)))
-    gram = F.explode(_grams(F.col("_lowered"), gram_size)).alias("gram")
+    gram = F.explode(F.concat(*[_grams(F.col("_lowered"), size) for size in gram_sizes])).alias("gram")
     if broadcast:
         candidates = lowered.select("*", gram).join(F.broadcast(anchors), "gram").drop("gram")
     else:
@@ -111,6 +124,7 @@ def match_phrases(
     id_col: str = "doc_id",
     query_col: str = "query",
     direct_phrases: int = DIRECT_PHRASES,
+    broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Each text once per distinct job phrase that it contains, as column `phrase`.
 
@@ -118,11 +132,11 @@ def match_phrases(
     measured number of phrases and never on their content; every way is exact.
     """
     phrases = _distinct_phrases(jobs, query_col)
-    size = measure(phrases, shortest=F.min(F.length("phrase")))
+    size = measure(phrases, gram_sizes=F.sort_array(F.collect_set(_gram_size(F.col("phrase")))))
     if size.rows <= direct_phrases:
         return _direct_matches(texts, sorted(row["phrase"] for row in phrases.collect()), text_col)
-    gram_size = min(size.extra["shortest"], LONGEST_GRAM)
-    return _anchored_matches(texts, phrases, text_col, id_col, gram_size, size.fits_broadcast())
+    fits = size.fits_broadcast(max_rows=broadcast_rows)
+    return _anchored_matches(texts, phrases, text_col, id_col, size.extra["gram_sizes"] or [LONGEST_GRAM], fits)
 
 
 def fan_out(

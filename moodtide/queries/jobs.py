@@ -62,6 +62,30 @@ def matches_indexed(spark, sf):
     return match_phrases(texts, search_jobs(spark, sf), direct_phrases=0).select("doc_id", "phrase")
 
 
+@query(
+    "match_phrases_short",
+    f"""SELECT doc_id, phrase FROM documents, (SELECT lower(query) AS phrase FROM {JOBS_SQL}
+                                              UNION SELECT left(lower(query), 1) FROM {JOBS_SQL}) WHERE contains(lower(text), phrase)""",
+)
+def matches_short(spark, sf):
+    """Phrases of one letter among longer ones, each looked up by runs of its own length."""
+    jobs = search_jobs(spark, sf).select("query")
+    both = jobs.unionByName(jobs.select(F.left(F.lower("query"), F.lit(1)).alias("query")))
+    return match_phrases(documents(spark, sf, "doc_id", "text"), both, direct_phrases=0).select("doc_id", "phrase")
+
+
+@query(
+    "match_phrases_shuffled",
+    f"""SELECT conv_id, turn, phrase FROM conversations, (SELECT DISTINCT lower(query) AS phrase FROM {JOBS_SQL})
+        WHERE contains(lower(text), phrase)""",
+)
+def matches_shuffled(spark, sf):
+    """The way taken when the phrases are too many to broadcast, over rows that share their ids."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    found = match_phrases(turns, search_jobs(spark, sf), id_col="conv_id", direct_phrases=0, broadcast_rows=-1)
+    return found.select("conv_id", "turn", "phrase")
+
+
 FAN_OUT_SQL = f"""
     SELECT job_id, query, created_at, doc_id, text, datetime
     FROM (SELECT j.*, t.doc_id, t.text, t.datetime,
@@ -229,7 +253,7 @@ def _requests(spark, sf):
 
 
 def _analysed(spark, sf):
-    done = analysed_jobs(_known_jobs(spark, sf), event_jobs(spark, sf).select("path"))
+    done = analysed_jobs(event_jobs(spark, sf).select("path"))
     return done.select(F.col("job_id").alias("query"), F.lit("batch").alias("job_type"))
 
 

@@ -31,6 +31,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The cut of top-N windows inside each task, which is given up for an N above this.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "1000000")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:

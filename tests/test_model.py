@@ -37,6 +37,7 @@ def test_defaults():
 def test_learns_and_scores(spark, stored):
     root, _, predicted = stored
     assert predicted.where("sentiment <> prediction").count() == 0
+    assert spark.read.parquet(f"{root}/models/v5/held_out").exceptAll(predicted).count() == 0
     assert {row["prediction"] for row in predicted.collect()} == {0.0, 4.0}
     assert spark.read.json(f"{root}/models/v5/scores").first()["accuracy"] == 1.0
     report = spark.read.json(f"{root}/models/v5/report")
@@ -87,7 +88,7 @@ def test_stream_equals_batch(spark, labelled, stored, tmp_path):
 def test_append_to_table(spark, labelled, tmp_path):
     _messages(labelled).write.text(str(tmp_path / "in"))
     parsed = parse_messages(message_files(spark, str(tmp_path / "in"))).select("tweet.text")
-    spark.sql(f"CREATE TABLE sentiment_rows (text string) USING parquet LOCATION '{tmp_path}/table'")
+    # The table does not exist yet.
     try:
         flows.finish(flows.append_to_table(parsed, "sentiment_rows", str(tmp_path / "check"), once=True))
         assert spark.table("sentiment_rows").count() == 200
@@ -95,6 +96,21 @@ def test_append_to_table(spark, labelled, tmp_path):
         spark.sql("DROP TABLE sentiment_rows")
 
 
+def test_service_mode_goes_on_with_new_files(spark, labelled, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _messages(labelled).where("value LIKE '%love%'").write.text(source)
+    stream = parse_messages(message_files(spark, source)).select("tweet.text")
+    running = flows.append_to_files(stream, out, str(tmp_path / "check"), interval="1 second")
+    try:
+        running.processAllAvailable()
+        assert spark.read.parquet(out).count() == 100
+        _messages(labelled).where("value LIKE '%hate%'").write.mode("append").text(source)
+        running.processAllAvailable()
+        assert spark.read.parquet(out).count() == 200 and running.isActive
+    finally:
+        running.stop()
+
+
 def test_unreadable_messages_are_kept_apart(spark):
     good = json.dumps({"tweet": {"text": "x", "created_at": None}, "job_config": {"job_id": "j"}})
     raw = spark.createDataFrame([(good,), ("{broken",), ('{"tweet": {}}',), (None,)], "value string")

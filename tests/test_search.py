@@ -9,7 +9,7 @@ from moodtide.functions.jobkeys import decode_job_id, directory_of, job_type_err
 from moodtide.functions.timestamps import drop_zone, within_age
 from moodtide.operators import search
 from moodtide.operators.gate import content_gate, observed_gate
-from moodtide.operators.registry import files_of_job, job_status
+from moodtide.operators.registry import analysed_jobs, files_of_job, job_status
 from moodtide.operators.sizing import Size, broadcast_if_small, measure
 
 GATE = {
@@ -97,6 +97,32 @@ def test_limit_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
+def test_any_limit_is_cut_before_the_shuffle(spark):
+    rows = spark.range(10_000).select(F.lit("hot").alias("k"), F.col("id"))
+    top = search.top_per_group(rows, ["k"], ["id"], 5_000)
+    assert top.count() == 5_000
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ways", [{}, {"direct_phrases": 0}, {"direct_phrases": 0, "broadcast_rows": -1}])
+def test_phrases_of_all_lengths_and_shared_ids(spark, ways):
+    rows = [(1, "a long sentence here"), (1, "a long sentence here"), (None, "Sentence"), (2, ""), (3, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = ["a", "e", "se", "sentence", "long sentence", "", None]
+    jobs = spark.createDataFrame([(query,) for query in queries], "query string")
+    found = search.match_phrases(texts, jobs, **ways).select("doc_id", "phrase").collect()
+    expected = [(i, query) for i, text in rows for query in queries if query and query in (text or "").lower()]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    assert search.match_phrases(texts, jobs.where("query = ''"), **ways).count() == 0
+
+
+def test_analysed_jobs_leave_out_failed_ones(spark):
+    paths = spark.createDataFrame([("jobs/a/meta.json",), ("jobs/b/results.csv",), ("jobs/c/meta.json",), ("jobs/c/_error",)], "path string")
+    failures = spark.createDataFrame([("b", "x"), ("z", "y")], "job_id string, message string")
+    assert sorted(row["job_id"] for row in analysed_jobs(paths).collect()) == ["a", "b"]
+    assert [row["job_id"] for row in analysed_jobs(paths, failures).collect()] == ["a"]
+
+
 def test_broadcast_needs_a_small_table(spark):
     frame = spark.range(10).select(F.lit("abc").alias("t"))
     assert measure(frame) == Size(10, 30)
