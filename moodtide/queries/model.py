@@ -113,17 +113,27 @@ def model_report(spark, sf):
     return class_report(predicted)
 
 
+def _parts(model: PipelineModel) -> tuple:
+    """What the predictions of a model depend on: its terms and its weights."""
+    counter = next(stage for stage in model.stages if hasattr(stage, "vocabulary"))
+    weights = next(stage for stage in model.stages if hasattr(stage, "coefficients"))
+    return counter.vocabulary, weights.coefficients.toArray().tolist(), weights.intercept
+
+
 @query("model_roundtrip", "SELECT true AS same, count(*) AS n FROM documents")
 def model_roundtrip(spark, sf):
-    """Documents on which the model agrees before it is stored and after it is loaded: all of them."""
+    """Documents scored by the loaded model, and whether its terms and weights are those from before it was stored.
+
+    The model before that is not applied itself: its training summary holds the session, which no task can take.
+    """
     root = scratch_path(spark, "roundtrip")
     train, _ = stable_split(labelled(spark, sf), "doc_id")
     model = fit(train, Settings())
     sinks.save_model(model, root)
-    texts = documents(spark, sf, "doc_id", "text")
-    kept = predict(texts, model, ["doc_id"])
-    loaded = predict(texts, load_model(root), ["doc_id"]).withColumnRenamed("prediction", "reloaded")
-    return kept.join(loaded, "doc_id").groupBy((F.col("prediction") == F.col("reloaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    loaded = load_model(root)
+    scored = predict(documents(spark, sf, "doc_id", "text"), loaded, ["doc_id"])
+    same = F.lit(_parts(model) == _parts(loaded)) & F.col("prediction").isin(0.0, 4.0)
+    return scored.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("predicted_times", f"SELECT {TWEET_TIME_SQL} AS dt, true AS coded FROM documents")

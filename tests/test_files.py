@@ -101,7 +101,7 @@ def test_status_of_listed_files_and_failures(spark, tmp_path):
     assert dict(map(tuple, job_status(jobs, listing, failed).collect())) == {
         "done": "done", "failed": "error", "begun": "in_progress", "a b": "done", "gone": "error", "never": "missing",
     }
-    assert {row["job_id"] for row in analysed_jobs(jobs, listing, failed).collect()} == {"done", "begun", "a b"}
+    assert {row["job_id"] for row in analysed_jobs(listing, failed).collect()} == {"done", "begun", "a b"}
 
 
 def test_trigger_payload(values):
