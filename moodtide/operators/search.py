@@ -66,8 +66,11 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _gram_size(phrase: Column) -> Column:
-    """Length of the character run that a phrase is looked up by."""
-    return F.least(F.length(phrase), F.lit(LONGEST_GRAM))
+    """Length of the character run that a phrase is looked up by: the largest power of two that fits, so texts are cut in few ways."""
+    size = F.lit(LONGEST_GRAM)
+    for shorter in (4, 2, 1):
+        size = F.when(F.length(phrase) < 2 * shorter, shorter).otherwise(size)
+    return size
 
 
 def _phrase_grams(phrase: Column) -> Column:
