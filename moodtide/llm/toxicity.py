@@ -42,10 +42,12 @@ DECAY = 1e-4
 # Means over hundreds of words are small numbers; this factor keeps the embeddings small too.
 SCALE = 100.0
 THRESHOLD = 0.7
-# N-grams whose mean use differs between the classes by less than so many standard errors
-# say nothing and get no embedding; nor do those found in too few texts.
-LEAST_ERRORS = 5.0
+# N-grams found in too few texts get no embedding, nor do those that say next to nothing of the
+# classes.  Of a sample with twice as many other rows as toxic ones, four toxic texts and no other give 2.96.
+LEAST_EVIDENCE = 2.9
 LEAST_TEXTS = 5
+# Inputs of n-grams with less evidence than this are made smaller, of those with more larger.
+FULL_EVIDENCE = 4.0
 # One text in so many of the sample is kept aside to choose the best step.
 ASIDE = 5
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&~`=+-_/\\"
@@ -85,12 +87,13 @@ class Model:
 
 @dataclass
 class _Sample:
-    """Labelled texts as a sparse matrix: what share of all n-grams of a text each chosen bucket has."""
+    """Labelled texts as a sparse matrix: what share of all n-grams of a text each chosen bucket has, times its size."""
 
     buckets: np.ndarray
     shares: np.ndarray
     texts: np.ndarray
     labels: np.ndarray
+    sizes: np.ndarray
 
 
 def _shares(
@@ -115,29 +118,53 @@ def _shares(
     return buckets, np.bincount(place, np.repeat(values, lengths)) * SCALE
 
 
+def _evidence(sums: np.ndarray, squares: np.ndarray, held: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How surely the use of each bucket differs between the classes, in standard errors.
+
+    The larger of two tests that suppose no difference: one of the mean shares, with the
+    deviation over both classes, and the likelihood ratio of the numbers of texts, which
+    holds for words of a few texts too.  `held` and `rows` are per class.
+    """
+    if not rows.all():
+        return np.zeros(BUCKETS)
+    total, both = rows.sum(), held.sum(axis=0)
+    deviations = np.maximum(squares / total - (sums.sum(axis=0) / total) ** 2, 1e-12)
+    of_means = np.abs(sums[1] / rows[1] - sums[0] / rows[0]) / np.sqrt(deviations * (1 / rows).sum())
+    ratio = np.zeros(BUCKETS)
+    for label in (0, 1):
+        for found, expected in ((held[label], both), (rows[label] - held[label], total - both)):
+            ratio += found * np.log(np.maximum(found, 1) / np.maximum(expected * rows[label] / total, 1e-9))
+    return np.maximum(of_means, np.sqrt(np.maximum(2 * ratio, 0)))
+
+
 def _sample(texts: list[str], labels: list[int]) -> _Sample:
     """Two passes: sums per class choose the buckets, then only these are kept."""
     known: dict[str, tuple[np.ndarray, int]] = {}
-    sums, squares, held = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int64)
-    for text, label in zip(texts, labels):
+    sums, held, squares = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS)), np.zeros(BUCKETS)
+    every = np.zeros(BUCKETS, np.int64)
+    for number, (text, label) in enumerate(zip(texts, labels)):
         buckets, shares = _shares(text, known)
-        # Square roots, lest a few very short texts decide.
-        sums[label, buckets] += np.sqrt(shares)
-        squares[label, buckets] += shares
-        held[buckets] += 1
+        every[buckets] += 1
+        # The texts kept aside have no say, or the best step would be chosen by texts seen before.
+        if number % ASIDE:
+            # Square roots, lest a few very short texts decide.
+            sums[label, buckets] += np.sqrt(shares)
+            held[label, buckets] += 1
+            squares[buckets] += shares
         if len(known) > Scorer.MAX_HELD:
             known.clear()
-    rows = np.maximum(np.bincount(labels, minlength=2), 1)[:, None]
-    means = sums / rows
-    errors = np.sqrt((np.maximum(squares / rows - means * means, 0) / rows).sum(axis=0))
-    chosen = (np.abs(means[1] - means[0]) >= LEAST_ERRORS * errors) & (held >= LEAST_TEXTS) & (errors > 0)
+    rows = np.bincount([label for number, label in enumerate(labels) if number % ASIDE], minlength=2)
+    evidence = _evidence(sums, squares, held, rows)
+    chosen = (evidence >= LEAST_EVIDENCE) & (every >= LEAST_TEXTS)
     known, parts = {}, []
     for number, text in enumerate(texts):
         buckets, shares = _shares(text, known, chosen)
         parts.append((buckets, shares, np.full(len(buckets), number)))
         if len(known) > Scorer.MAX_HELD:
             known.clear()
-    return _Sample(*(np.concatenate(column) for column in zip(*parts)), np.array(labels))
+    buckets, shares, numbers = (np.concatenate(column) for column in zip(*parts))
+    sizes = (evidence / FULL_EVIDENCE) ** 2
+    return _Sample(buckets, shares * sizes[buckets], numbers, np.array(labels), sizes)
 
 
 class _Adam:
@@ -192,6 +219,8 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = STEPS, s
         adams[0].move(embeddings + DECAY / len(labels) * model.embeddings)
         adams[1].move(np.stack([-sums, sums], axis=1).astype(np.float32))
         adams[2].move(np.array([-error.sum(), error.sum()], np.float32))
+    # What was multiplied to the inputs belongs to the embeddings of a text as it is.
+    best.embeddings *= data.sizes[:, None].astype(np.float32)
     return best
 
 

@@ -44,6 +44,27 @@ def test_toxicity_learns_and_spells(spark):
     assert 0 <= scorer.score("") == scorer.score(None) <= 1
 
 
+def test_toxicity_learns_rare_words():
+    """Words of eight toxic texts each and of no other, next to common ones."""
+    rng = __import__("random").Random(3)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rare = ["".join(rng.choice("jkpqvwxyzäöüßñçé") for _ in range(7)) for _ in range(15)]
+    texts, labels = [], []
+    for number in range(900):
+        own = [rng.choice(words) for _ in range(60)]
+        if number % 3 == 0:
+            at = number // 3 // 8
+            own[10] = own[40] = rare[at] if at < len(rare) else "blockhead"
+        texts.append(" ".join(own))
+        labels.append(int(number % 3 == 0))
+    order = rng.sample(range(900), 900)
+    scorer = toxicity.Scorer(toxicity.fit([texts[at] for at in order], [labels[at] for at in order], 1 / 3))
+    plain = [" ".join(rng.choice(words) for _ in range(58)) for _ in range(30)]
+    assert sum(scorer.score(text) >= 0.5 for text in plain) <= 3
+    for word in rare:
+        assert sum(scorer.score(f"{text} {word} {word}") >= 0.5 for text in plain) >= 24, word
+
+
 def test_toxicity_odd_rows(odd, nothing, spark):
     labels = spark.createDataFrame([(0, 1), (2, 0), (None, 1), (3, None), (6, 0), (0, 0)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
