@@ -3,7 +3,8 @@
 Message bodies are parsed into own text and quoted passages of any nesting level.
 Passages are normalised and hashed, and the hashes are joined to the
 first message of the same thread that says the same, or else to the first message of any
-thread.  The passages of level 1 name the message that is answered, and with it the
+thread.  A passage that no message says as a whole or in one line is linked to the earlier message of its
+thread that shares most of its lines and sentences.  The passages of level 1 name the message that is answered, and with it the
 conversation, its order, and the depth of each reply; quotes and attribution
 lines are gone from the texts.
 
@@ -13,8 +14,8 @@ Replies are followed to their beginnings by doubling, over written tables.
 
 Defined results: a null text is an empty message without quotes.  A message
 without thread or place answers nothing and is never answered.  Rows with the same thread and
-place share the latest parent among them.  A quote of text that no earlier
-message of the thread has links to no parent.  Extra columns are not read.
+place share the latest parent among them.  A quote of text of which no earlier
+message of the thread has a line or sentence links to no parent.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from moodtide.llm.scratch import stored
 from moodtide.sources.files import table
 
 _QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)")
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 _ATTRIBUTION = re.compile(r"[^\n]*\bwrote:[ \t]*")
 # Places are counted in runs of this many, so that no long thread is sorted in one task.
 RUN = 256
@@ -73,34 +75,45 @@ def own_keys(own: str) -> list[str]:
     return [key for key in keys if key]
 
 
+def part_keys(text: str) -> list[int]:
+    """64-bit hashes of the lines of a text and of its sentences, which may run over lines or end with them."""
+    lines = [normalised(line) for line in text.split("\n")]
+    parts = dict.fromkeys(lines)
+    for run in (normalised(text), *lines):
+        parts.update(dict.fromkeys(_SENTENCE.split(run)))
+    return [xxhash.xxh3_64_intdigest(part.encode()) - (1 << 63) for part in parts if part]
+
+
 def parsed(
     messages: DataFrame, thread_col: str = "conv_id", place_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """`thread`, `place`, `role`, own `text`, `keys` of the message and its `quotes` (level and key)."""
+    """`thread`, `place`, `role`, own `text`, `keys` and `parts` of the message and its `quotes` (level, key and parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, quotes = [], [], []
+            texts, keys, parts, quotes = [], [], [], []
             for body in batch.column(3):
                 own, passages = parse_body(body.as_py() or "")
                 texts.append(own)
                 keys.append(own_keys(own))
-                quotes.append([{"level": level, "key": passage_key(text)} for level, text in passages])
+                parts.append(part_keys(own))
+                quotes.append([{"level": level, "key": passage_key(text), "parts": part_keys(text)} for level, text in passages])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
                     pa.array(texts, pa.string()),
                     pa.array(keys, pa.list_(pa.string())),
-                    pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string())]))),
+                    pa.array(parts, pa.list_(pa.int64())),
+                    pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string()), ("parts", pa.list_(pa.int64()))]))),
                 ],
-                names=["thread", "place", "role", "text", "keys", "quotes"],
+                names=["thread", "place", "role", "text", "keys", "parts", "quotes"],
             )
 
     slim = messages.select(
         F.col(thread_col).alias("thread"), F.col(place_col).alias("place"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )
     kinds = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in slim.schema)
-    return slim.mapInArrow(run, f"{kinds}, keys array<string>, quotes array<struct<level:int,key:string>>")
+    return slim.mapInArrow(run, f"{kinds}, keys array<string>, parts array<bigint>, quotes array<struct<level:int,key:string,parts:array<bigint>>>")
 
 
 def quotation_links(rows: DataFrame) -> DataFrame:
@@ -115,15 +128,44 @@ def quotation_links(rows: DataFrame) -> DataFrame:
     is_near = F.coalesce(F.col("near_place") < F.col("place"), F.lit(False))
     found = near.join(anywhere, "key", "left")
     far = F.when(F.col("far.thread") != F.col("thread"), F.col("far"))
-    return found.select(
+    links = stored(
+        found.select(
+            "thread",
+            "place",
+            "at",
+            "level",
+            "key",
+            F.when(is_near, F.col("thread")).otherwise(far["thread"]).alias("from_thread"),
+            F.when(is_near, F.col("near_place")).otherwise(far["place"]).alias("from_place"),
+        ),
+        "links",
+    )
+    still = links.where("from_place IS NULL AND thread IS NOT NULL AND place IS NOT NULL").drop("from_thread", "from_place").distinct()
+    if still.isEmpty():
+        return links
+    return links.join(part_links(rows, still), ["thread", "place", "at", "key"], "left").select(
         "thread",
         "place",
         "at",
         "level",
         "key",
-        F.when(is_near, F.col("thread")).otherwise(far["thread"]).alias("from_thread"),
-        F.when(is_near, F.col("near_place")).otherwise(far["place"]).alias("from_place"),
+        F.coalesce("from_thread", F.when(F.col("part_place").isNotNull(), F.col("thread"))).alias("from_thread"),
+        F.coalesce("from_place", "part_place").alias("from_place"),
+    )
+
+
+def part_links(rows: DataFrame, still: DataFrame) -> DataFrame:
+    """Of passages without a link, the earlier message of the thread that shares most lines and sentences, the first of several."""
+    quoted = rows.select("thread", "place", F.posexplode("quotes").alias("at", "quote")).select(
+        "thread", "place", "at", F.col("quote.key").alias("key"), F.explode("quote.parts").alias("part")
+    )
+    same = ["thread", "place", "at", "key"]
+    asked = quoted.join(still.select(same), same, "left_semi").distinct()
+    said = rows.join(still.select("thread").distinct(), "thread", "left_semi").select(
+        "thread", F.col("place").alias("part_place"), F.explode("parts").alias("part")
     )
+    shared = asked.join(said.distinct(), ["thread", "part"]).where("part_place < place").groupBy(*same, "part_place").count()
+    return shared.groupBy(same).agg(F.max_by("part_place", F.struct("count", -F.col("part_place"))).alias("part_place"))
 
 
 def reply_roots(parents: DataFrame) -> DataFrame:

@@ -26,6 +26,20 @@ def test_conversations_odd_rows(spark):
     assert by[None, None]["parent"] is None
 
 
+def test_conversations_of_partial_quotes(spark):
+    """Two of three lines, a re-wrapped part of a paragraph, and lines from around a deeper quote, against counting by hand."""
+    first = "one line here\ntwo lines here\nthree lines"
+    second = "> one line here\n> two lines here\nBirds sing at dawn. Cats sleep until noon. Dogs bark."
+    third = "> Cats sleep\n> until noon. Dogs\n> bark.\nleft\nright\n>> three lines\nbelow"
+    rows = [(1, 0, first), (1, 1, second), (1, 2, third), (1, 3, "> left\n> right\n>> three lines\n> below\nfine"), (1, 4, "> never said\nodd")]
+    rows += [(2, 0, "same words"), (2, 1, "same words\nmore of it\nlast"), (2, 2, "> same words\n> more of it\nyes")]
+    turns = spark.createDataFrame([(c, t, "a", text) for c, t, text in rows], "conv_id long, turn long, role string, text string")
+    by = {(row["thread"], row["place"]): row for row in quotations.conversations(turns).collect()}
+    assert [by[1, place]["parent"] for place in range(5)] == [None, 0, 1, 2, None]
+    assert [by[1, place]["depth"] for place in range(5)] == [0, 1, 2, 3, 0]
+    assert (by[2, 2]["parent"], by[2, 2]["n_linked"]) == (1, 1)
+
+
 def test_toxicity_learns_and_spells(spark):
     rng = __import__("random").Random(2)
     words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
