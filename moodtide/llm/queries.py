@@ -5,6 +5,7 @@ from __future__ import annotations
 from moodtide.llm import (
     binary,
     decontaminate,
+    hardnegatives,
     minslack,
     quality,
     quotations,
@@ -17,6 +18,6 @@ from moodtide.llm import (
 from moodtide.llm.registry import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "binary", "decontaminate", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
+    "ORACLES", "QUERIES", "binary", "decontaminate", "hardnegatives", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
     "substrings", "toxicity",
 ]
