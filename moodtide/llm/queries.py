@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from moodtide.llm import (
     binary,
+    conversations,
     decontaminate,
     hardnegatives,
     minslack,
@@ -18,6 +19,6 @@ from moodtide.llm import (
 from moodtide.llm.registry import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "binary", "decontaminate", "hardnegatives", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
+    "ORACLES", "QUERIES", "binary", "conversations", "decontaminate", "hardnegatives", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
     "substrings", "toxicity",
 ]
