@@ -7,6 +7,7 @@ from moodtide.llm import (
     conversations,
     decontaminate,
     hardnegatives,
+    jaccard,
     minslack,
     quality,
     quotations,
@@ -19,6 +20,6 @@ from moodtide.llm import (
 from moodtide.llm.registry import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "binary", "conversations", "decontaminate", "hardnegatives", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
+    "ORACLES", "QUERIES", "binary", "conversations", "decontaminate", "hardnegatives", "jaccard", "minslack", "quality", "quotations", "secrets", "sharding", "simhash",
     "substrings", "toxicity",
 ]
