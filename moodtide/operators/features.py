@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodtide.functions.binding import bind
+from moodtide.operators.bitmaps import BITS, bitmap, may_hold
+from moodtide.sinks.files import keep
 
 # Fixed values, needed for equal results.
 VOCABULARY_SIZE = 80_000
@@ -58,19 +60,125 @@ def corpus_counts(df: DataFrame, terms_col: str) -> DataFrame:
     return _terms(df, F.col(terms_col)).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def vocabulary(df: DataFrame, terms_col: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms; equal counts in alphabetical order.
+def _reached(counts: DataFrame, size: int) -> tuple[int, int, int]:
+    """The count of the `size`-th most frequent term (0 if there are fewer), the terms above it, and those at it.
 
-    The count that the last of them must reach is found first, from the number
-    of terms per count: these are few, as n different counts need n * n / 2
-    occurrences.  Only terms that reach it are sorted.  Both parts read the
-    same shuffle.
+    Different counts are few, as n of them need n * n / 2 occurrences.
     """
-    counts = corpus_counts(df, terms_col)
     held = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("terms"))
-    reached = held.select("cnt", F.sum("terms").over(Window.orderBy(F.desc("cnt"))).alias("reached"))
-    last = reached.where(F.col("reached") >= size).agg(F.coalesce(F.max("cnt"), F.lit(0)).alias("cnt"))
-    return counts.where(F.col("cnt") >= last.scalar()).orderBy(F.desc("cnt"), "term").limit(size)
+    reached = held.withColumn("reached", F.sum("terms").over(Window.orderBy(F.desc("cnt"))))
+    last = reached.where(F.col("reached") >= size).orderBy(F.desc("cnt")).first()
+    return (last["cnt"], last["reached"] - last["terms"], last["terms"]) if last else (0, 0, 0)
+
+
+def _nth_term(terms: DataFrame, held: int, n: int, most: int = 10_000) -> str:
+    """The n-th of `held` distinct terms in alphabetical order.
+
+    Found through the numbers of terms per first characters, so that no task
+    ever sorts more than `most` terms.
+    """
+    start, left = "", terms
+    while held > most:
+        heads = left.groupBy(F.substring("term", 1, len(start) + 2).alias("head")).agg(F.count(F.lit(1)).alias("held"))
+        placed = heads.withColumn("reached", F.sum("held").over(Window.orderBy("head")))
+        here = placed.where(F.col("reached") >= n).orderBy("head").first()
+        n, held = n - here["reached"] + here["held"], here["held"]
+        longer = len(here["head"]) > len(start) + 1
+        left = left.where(F.startswith("term", F.lit(here["head"])) if longer else F.col("term") == here["head"])
+        start = here["head"]
+    return left.orderBy("term").limit(n).agg(F.max("term")).first()[0]
+
+
+def most_frequent(counts: DataFrame, size: int, reached: tuple[int, int, int] | None = None) -> DataFrame:
+    """The `size` most frequent of counted terms (`term`, `cnt`); equal counts in alphabetical order.
+
+    The last admitted term is found first; the rest is a filter, so the terms are neither
+    sorted nor gathered.  `counts` is read several times; `reached` is what `_reached` tells of it, if known.
+    """
+    last, above, tied = reached or _reached(counts, size)
+    if size <= 0 or above + tied <= size:
+        return counts.where(F.lit(size > 0) & (F.col("cnt") >= last))
+    term = _nth_term(counts.where(F.col("cnt") == last).select("term"), tied, size - above)
+    return counts.where((F.col("cnt") > last) | ((F.col("cnt") == last) & (F.col("term") <= term)))
+
+
+def vocabulary(df: DataFrame, terms_col: str, size: int = VOCABULARY_SIZE) -> DataFrame:
+    """The most frequent terms of an array column."""
+    return most_frequent(keep(corpus_counts(df, terms_col), "term-counts"), size)
+
+
+def _pairs(values: Column) -> Column:
+    """One hash for each two neighbours of an array of hashes."""
+    count = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), count), F.slice(values, F.lit(2), count), lambda a, b: F.xxhash64(a, b))
+
+
+def _run_hashes(tokens: DataFrame, longest: int) -> DataFrame:
+    """Hashes of the runs of 1 to `longest` tokens, as array columns `run_1` and so on: a run's hash comes from its two parts'."""
+    out = tokens.select("tokens", F.transform("tokens", lambda token: F.xxhash64(token)).alias("run_1"))
+    for n in range(2, longest + 1):
+        out = out.select("*", _pairs(F.col(f"run_{n - 1}")).alias(f"run_{n}"))
+    return out
+
+
+def _long_counts(tokens: DataFrame, n: int, words: Column, bits: int) -> DataFrame:
+    """Hashes of the runs of n tokens, of which both runs of n - 1 may be in the bitmap, and their occurrences."""
+    parts = F.col(f"run_{n - 1}")
+    count = F.greatest(F.size(parts) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(parts, F.lit(1), count).alias("a"), F.slice(parts, F.lit(2), count).alias("b"))
+    rows = _run_hashes(tokens, n - 1).select(F.explode_outer(both).alias("run")).select("run.a", "run.b")
+    kept = rows.where(may_hold(words, F.col("a"), bits) & may_hold(words, F.col("b"), bits))
+    return kept.groupBy(F.xxhash64("a", "b").alias("term")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _named_counts(tokens: DataFrame, longest: int, words: Column, bits: int) -> DataFrame:
+    """Terms and occurrences of the runs whose hash may be in the bitmap; of the longest runs, both of whose parts may."""
+    parts = F.col(f"run_{longest - 1}")
+    count = F.greatest(F.size(parts) - 1, F.lit(0))
+    shorter = [F.col(f"run_{n}") for n in range(1, longest)]
+    both = [F.concat(*shorter, F.slice(parts, F.lit(first), count)).alias(name) for first, name in ((1, "a"), (2, "b"))]
+    rows = _run_hashes(tokens, longest - 1).select("tokens", F.posexplode_outer(F.arrays_zip(*both)).alias("at", "run"))
+    rows = rows.where(may_hold(words, F.col("run.a"), bits) & may_hold(words, F.col("run.b"), bits))
+    # The place in the joined arrays tells the length of the run and its first token.
+    held, before, start, length = F.size("tokens"), F.lit(0), F.col("at"), F.lit(1)
+    for n in range(2, longest + 1):
+        before = before + F.greatest(held - (n - 2), F.lit(0))
+        start = F.when(F.col("at") >= before, F.col("at") - before).otherwise(start)
+        length = F.when(F.col("at") >= before, n).otherwise(length)
+    term = F.array_join(F.slice("tokens", start + 1, length), " ")
+    return rows.select(term.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def ngram_vocabulary(
+    df: DataFrame, tokens_col: str, size: int = VOCABULARY_SIZE, longest: int = LONGEST_NGRAM, bits: int = BITS
+) -> DataFrame:
+    """The most frequent 1- to `longest`-grams of an array of tokens.
+
+    A run is at most as frequent as its parts, and the `size`-th count among
+    the shorter runs is one that the last admitted term must reach.  So a run is
+    counted only if both runs of one token less in it reach that count, which a
+    bitmap tells before anything is combined; the others are never shuffled.
+    Runs below the longest are first counted by hashes of eight bytes, and spelled
+    out and counted by their text only if they reach the bound.  So a clash of
+    hashes changes no count, and one that lifts the bound too far is noticed.
+    Tokens are written once and read for each length.  Tokens are not null.
+    """
+    if longest == 1:
+        return vocabulary(df, tokens_col, size)
+    tokens = keep(df.select(F.col(tokens_col).alias("tokens")), "tokens")
+    found = parts = keep(corpus_counts(_run_hashes(tokens, 1).select("run_1"), "run_1"), "counts-1")
+    last, _, _ = _reached(found, size)
+    for n in range(2, longest):
+        parts = keep(_long_counts(tokens, n, bitmap(parts.where(F.col("cnt") >= last), "term", bits), bits), f"counts-{n}")
+        found = found.where(F.col("cnt") >= last).unionByName(parts)
+        last, _, _ = _reached(found, size)
+    words = bitmap(found.where(F.col("cnt") >= last), "term", bits)
+    named = keep(_named_counts(tokens, longest, words, bits), "named-counts")
+    reached = _reached(named, size)
+    if reached[0] < last:
+        # Two runs of one hash have lifted the bound above what the last term reaches.
+        return vocabulary(tokens.select(all_ngrams(F.col("tokens"), longest).alias("terms")), "terms", size)
+    return most_frequent(named, size, reached)
 
 
 def _tally(terms: Column) -> Column:

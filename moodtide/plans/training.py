@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodtide.operators.features import VOCABULARY_SIZE, vocabulary
+from moodtide.operators.features import VOCABULARY_SIZE, ngram_vocabulary, vocabulary
 from moodtide.operators.gate import not_empty
 from moodtide.operators.metrics import accuracy, class_report
 from moodtide.operators.splits import recode_label, stable_split
@@ -67,22 +67,26 @@ def _apply(stages: list[Transformer], df: DataFrame) -> DataFrame:
 def fit(train: DataFrame, settings: Settings, stages: list[Transformer] | None = None) -> PipelineModel:
     """Fit on rows with `sentiment` (0 or 4) and `text`; the model predicts 0.0 or 4.0.
 
-    The vocabulary comes from one hash aggregate over the corpus, with ties cut
+    The vocabulary is counted over the corpus, with ties cut
     alphabetically; the vectorizer only numbers the chosen terms.  Labels are
     fitted as 0/1, because codes 0 and 4 would make Spark fit five classes.
 
-    Texts are tokenized twice, for the vocabulary and for the vectors, and not
-    kept in between: n-grams take several times the space of their texts.  The
+    Texts are tokenized twice, for the vocabulary and for the vectors; n-grams are not
+    kept in between, as they take several times the space of their texts.  The
     regression itself keeps the sparse vectors for its iterations.
     """
     stages = ngram_stages(settings) if stages is None else stages
     rows = train.repartition(settings.partitions) if settings.partitions else train
+    longest = max([stage.getN() for stage in stages if isinstance(stage, NGram)], default=1)
     prepared = _apply(stages, rows).select(
-        recode_label(F.col("sentiment")).cast("double").alias("label"), "text_clean", "c_words"
+        recode_label(F.col("sentiment")).cast("double").alias("label"), "text_clean", "words", "c_words"
     )
     if settings.drop_empty:
         prepared = not_empty(prepared)
-    terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
+    if longest > 1:
+        terms = ngram_vocabulary(prepared, "words", settings.vocabulary_size, longest)
+    else:
+        terms = vocabulary(prepared, "c_words", settings.vocabulary_size)
     counter = CountVectorizer(inputCol="c_words", outputCol="features", vocabSize=settings.vocabulary_size)
     vectorizer = counter.fit(terms.select(F.array("term").alias("c_words")))
     regression = LogisticRegression(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moodtide.functions.cleaning import clean_text
 from moodtide.functions.words import lower_tokens
-from moodtide.operators.features import all_ngrams, term_counts, vocabulary
+from moodtide.operators.features import all_ngrams, ngram_vocabulary, term_counts
 from moodtide.queries.base import clean_sql, documents, query, terms_sql, tokens_sql
 
 
@@ -35,7 +35,7 @@ def ngrams_of_documents(spark, sf):
 
 @query("vocab_topk", f"SELECT term, count(*) AS cnt FROM {_TERMS_SQL} GROUP BY term ORDER BY cnt DESC, term LIMIT 80000")
 def vocab_topk(spark, sf):
-    return vocabulary(_terms(spark, sf), "c_words")
+    return ngram_vocabulary(_tokens(spark, sf), "w")
 
 
 @query("term_counts", f"SELECT doc_id, term, count(*) AS cnt FROM {_TERMS_SQL} GROUP BY doc_id, term")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodtide.operators.records import result_lines, to_json_lines
+from moodtide.session import scratch_path
 from moodtide.sources.files import CSV_QUOTING, DEFAULT_MODEL_VERSION, model_path
 
 # Writers trim values by default.
@@ -18,6 +19,13 @@ _CSV = {**CSV_QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpa
 Result = TypeVar("Result")
 
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the scratch folder and read it back: computed once, and not again for a lost executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tweets(tweets: DataFrame, path: str) -> None:
     tweets.write.options(**_CSV).csv(path, header=True)
 

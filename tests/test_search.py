@@ -116,6 +116,73 @@ def test_phrases_of_all_lengths_and_shared_ids(spark, ways):
     assert search.match_phrases(texts, jobs.where("query = ''"), **ways).count() == 0
 
 
+_WAYS = [{}, {"direct_phrases": 0}, {"direct_phrases": 0, "broadcast_rows": -1}]
+
+
+@pytest.mark.parametrize("ways", _WAYS)
+def test_phrases_at_any_place_of_a_word(spark, ways):
+    rng = random.Random(11)
+    words = ["concatenate", "cat", "cats", "catty", "doğa", "the", "tree", "x", "xx", "a-b", "line\nbreak", "tab\tbed"]
+    texts = [(i, (" " * rng.randint(1, 3)).join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(200)]
+    texts += [(3, "cat catty concatenate cats"), (None, " leading and trailing "), (5, "   ")]
+    queries = ["cat", "CAT", "enat", "e c", "s the", "cat cats", "ts the tr", "x", " x", "x ", " ", "  ", "a-b", "line\nbreak", "bed", "e  t", "zzz cat", "ğa"]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    jobs = spark.createDataFrame([(query,) for query in queries], "query string")
+    found = search.match_phrases(frame, jobs, **ways)
+    assert found.columns == ["doc_id", "text", "phrase"]
+    expected = [(i, text, phrase) for i, text in texts for phrase in {query.lower() for query in queries} if phrase in text.lower()]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
+def test_anchor_is_the_rarest_run_of_the_corpus(spark):
+    texts = spark.createDataFrame([(i, "common words everywhere") for i in range(30)] + [(99, "common unusual")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("common unusual",), ("common nowhere",), ("words",)], "phrase string")
+    anchors = search._chosen_anchors(texts, phrases, "text")
+    chosen = {row["phrase"]: (row["gram"], row["uses"]) for row in anchors.phrases.collect()}
+    assert [row["phrase"] for row in anchors.phrases.where("frequent").collect()] == []
+    assert chosen["common unusual"][1] == 1 and chosen["common unusual"][0] in "unusual"
+    assert chosen["common nowhere"][1] == 0 and chosen["common nowhere"][0] in "nowhere"
+    assert {row["word"] for row in anchors.words.collect()} == {"unusual", "words"}
+
+
+def test_words_without_an_anchor_are_not_cut(spark):
+    texts = spark.createDataFrame([(i, "many other words here " * 5) for i in range(50)] + [(77, "needle")], "doc_id long, text string")
+    anchors = search._chosen_anchors(texts, spark.createDataFrame([("needle",)], "phrase string"), "text")
+    lowered = texts.withColumn("_lowered", F.lower("text"))
+    assert {row["_word"] for row in search._candidate_grams(lowered, anchors).select("_word").collect()} == {"needle"}
+
+
+def test_equal_rows_are_all_found(spark):
+    tweets = spark.createDataFrame([(1, "en", "big cat")] * 3 + [(2, "en", "cat"), (None, "en", "cat"), (2, "en", "cat")], "doc_id long, lang string, text string")
+    jobs = spark.createDataFrame([("j", "cat", "2021"), ("k", "CAT", "2021")], "job_id string, query string, created_at string")
+    for direct in (64, 0):
+        found = search.fan_out(tweets, jobs, ["doc_id"], direct_phrases=direct)
+        assert sorted(row["job_id"] for row in found.collect()) == ["j"] * 6 + ["k"] * 6
+        few = search.fan_out(tweets, jobs, ["doc_id"], limit=3, direct_phrases=direct)
+        assert sorted((row["job_id"], row["doc_id"], row["text"]) for row in few.collect()) == sorted(
+            (job, i, text) for job in "jk" for i, text in ((2, "cat"), (2, "cat"), (1, "big cat"))
+        )
+
+
+def test_texts_are_not_ranked(spark, sf):
+    """Between the match and the survivors only ids are shuffled."""
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a text").alias("text"))
+    slim = rows.select("doc_id", F.lit("p").alias("phrase"))
+    plan = search.top_per_group(slim, ["phrase"], ["doc_id"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "text" not in plan.split("Exchange")[1]
+
+
+def test_a_low_group_limit_of_the_session_is_raised(spark):
+    before = spark.conf.get(search._GROUP_LIMIT)
+    spark.conf.set(search._GROUP_LIMIT, "10")
+    try:
+        rows = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id"))
+        plan = search.top_per_group(rows, ["k"], ["id"], 50)._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan
+    finally:
+        spark.conf.set(search._GROUP_LIMIT, before)
+
+
 def test_analysed_jobs_leave_out_failed_ones(spark):
     paths = spark.createDataFrame([("jobs/a/meta.json",), ("jobs/b/results.csv",), ("jobs/c/meta.json",), ("jobs/c/_error",)], "path string")
     failures = spark.createDataFrame([("b", "x"), ("z", "y")], "job_id string, message string")

@@ -1,12 +1,15 @@
 """Series, features, metrics and splits."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from moodtide.operators.features import all_ngrams, corpus_counts, ngrams, term_counts, vocabulary
+from moodtide.operators import features
+from moodtide.operators.bitmaps import bitmap, may_hold
+from moodtide.operators.features import all_ngrams, corpus_counts, ngram_vocabulary, ngrams, term_counts, vocabulary
 from moodtide.operators.metrics import accuracy, class_report, confusion_matrix
 from moodtide.operators.series import chunk_means, last_per_time, number_points
 from moodtide.operators.splits import random_split, recode_label, split_label, stable_split
@@ -92,6 +95,63 @@ def test_counts(spark):
     assert {tuple(r) for r in term_counts(words, "i", F.col("w")).collect()} == {(1, "a", 1), (1, "b", 2), (2, "a", 1)}
 
 
+def _plain_counts(rows, longest):
+    counts = Counter()
+    for tokens in rows:
+        for n in range(1, longest + 1):
+            counts.update(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+    return counts
+
+
+@pytest.mark.parametrize("size, bits", [(1, 1 << 12), (7, 1 << 12), (40, 1 << 12), (40, 64), (100_000, 1 << 12)])
+def test_pruned_vocabulary_equals_plain_counts(spark, size, bits):
+    rng = random.Random(size)
+    rows = [[rng.choice("aaaabbcdéfghij") for _ in range(rng.randint(0, 12))] for _ in range(60)] + [[], ["x"], ["x", "y"]]
+    frame = spark.createDataFrame([(row,) for row in rows] + [(None,)], "w array<string>").repartition(3)
+    counts = _plain_counts(rows, 3)
+    expected = sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:size]
+    found = ngram_vocabulary(frame, "w", size, bits=bits)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    plain = vocabulary(frame.where("w IS NOT NULL").select(all_ngrams(F.col("w")).alias("terms")), "terms", size)
+    assert sorted(map(tuple, plain.collect())) == sorted(expected)
+
+
+def test_no_terms(spark):
+    frame = spark.createDataFrame([([],), (None,)], "w array<string>")
+    assert ngram_vocabulary(frame, "w", 5).count() == 0
+    assert vocabulary(frame, "w", 5).count() == 0
+
+
+def test_nth_term_sorts_few(spark):
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abé日") for _ in range(rng.randint(1, 6))) for _ in range(300)} | {""})
+    frame = spark.createDataFrame([(term,) for term in terms], "term string").repartition(4)
+    for n in (1, 2, 57, len(terms)):
+        for most in (1, 5, 1000):
+            assert features._nth_term(frame, len(terms), n, most) == terms[n - 1]
+
+
+def test_bitmap_never_misses(spark):
+    held = spark.range(500).select(F.concat(F.lit("t"), F.col("id")).alias("term"))
+    words = bitmap(held, "term", 1 << 14)
+    rows = spark.range(20_000).select(F.col("id"), F.concat(F.lit("t"), F.col("id")).alias("term"))
+    passed = [row["id"] for row in rows.where(may_hold(words, F.col("term"), 1 << 14)).select("id").collect()]
+    assert set(range(500)) <= set(passed)
+    assert len(passed) < 500 + 0.06 * 20_000
+
+
+def test_rare_runs_are_left_out_before_the_shuffle(spark):
+    rows = [["a", "b", "a", "b"]] * 30 + [[f"x{i}", f"y{i}", f"z{i}"] for i in range(500)]
+    frame = spark.createDataFrame([(row,) for row in rows], "w array<string>")
+    tokens = frame.select(F.col("w").alias("tokens"))
+    hashes = corpus_counts(features._run_hashes(tokens, 1), "run_1")
+    words = bitmap(hashes.where("cnt > 1"), "term", 1 << 14)
+    counted = features._long_counts(tokens, 2, words, 1 << 14)
+    assert counted.count() < 20
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("getbit") < plan.index("Generate")
+
+
 def test_term_counts_shuffle_nothing(spark):
     frame = spark.createDataFrame([(1, "b a b")], "i int, t string")
     plan = term_counts(frame, "i", F.split("t", " "))._jdf.queryExecution().executedPlan().toString()
