@@ -109,17 +109,51 @@ def _event_results(spark, sf, *keep):
     )
 
 
+_RESULTS_SQL = """(
+    SELECT user_id::INTEGER AS job_id, event_id, CASE WHEN event_type = 'error' THEN 'None' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dt,
+           CASE WHEN value < 30 THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END AS prediction FROM events)"""
+
+
+def _stored(spark, sf):
+    path = scratch_path(spark, "results")
+    sinks.store_results(_event_results(spark, sf, "event_id"), path, ["event_id"])
+    return path
+
+
+@query("results_roundtrip", f"SELECT job_id, dt, prediction FROM {_RESULTS_SQL}")
+def results_roundtrip(spark, sf):
+    """Results of all jobs in clustered files, and back."""
+    return sources.rows_by_job(spark, _stored(spark, sf)).select(F.col("job_id").cast("int"), "dt", "prediction")
+
+
+@query("results_of_jobs", f"SELECT job_id, dt, prediction FROM {_RESULTS_SQL} WHERE job_id % 10 = 3")
+def results_of_jobs(spark, sf):
+    """A tenth of the jobs, from the files that the index names."""
+    path = _stored(spark, sf)
+    asked = table(spark, sf, "events").select(F.col("user_id").alias("job_id")).where("job_id % 10 = 3")
+    return sources.rows_by_job(spark, path, asked).select(F.col("job_id").cast("int"), "dt", "prediction")
+
+
 @query(
-    "results_roundtrip",
-    """SELECT job_id, dt, prediction FROM (
-           SELECT user_id::INTEGER AS job_id, CASE WHEN event_type = 'error' THEN 'None' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dt,
-                  CASE WHEN value < 30 THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END AS prediction FROM events)""",
+    "results_index",
+    f"SELECT job_id, count(*) AS rows, true AS few_files FROM {_RESULTS_SQL} GROUP BY job_id",
 )
-def results_roundtrip(spark, sf):
-    """Result lines under one folder per job, and back."""
-    path = scratch_path(spark, "results")
-    sinks.write_results(_event_results(spark, sf), path, by_job=True)
-    return sources.results_csv(spark, path).select("job_id", "dt", "prediction")
+def results_index(spark, sf):
+    """The index: rows of each job, and that there are fewer files than jobs."""
+    path = _stored(spark, sf)
+    index = spark.read.parquet(f"{path}/index")
+    counts = index.agg(F.count_distinct("file").alias("files"), F.count_distinct("job_id").alias("jobs")).first()
+    rows = index.groupBy(F.col("job_id").cast("int").alias("job_id")).agg(F.sum("rows").alias("rows"))
+    return rows.withColumn("few_files", F.lit(4 * counts["files"] <= counts["jobs"]))
+
+
+@query("results_exported", f"SELECT job_id, dt, prediction FROM {_RESULTS_SQL} WHERE job_id % 50 = 3")
+def results_exported(spark, sf):
+    """Result lines of some jobs under one folder per job, and back."""
+    asked = table(spark, sf, "events").select(F.col("user_id").alias("job_id")).where("job_id % 50 = 3")
+    path = scratch_path(spark, "exported")
+    sinks.export_results(sources.rows_by_job(spark, _stored(spark, sf), asked), path)
+    return sources.results_csv(spark, path).select(F.col("job_id").cast("int"), "dt", "prediction")
 
 
 _TIMED_SQL = """(
@@ -131,9 +165,8 @@ _TIMED_SQL = """(
 @query("results_trend", _chunks_sql(_TIMED_SQL, "job_id"))
 def results_trend(spark, sf):
     """Stored result lines to smoothed series; the place in the file decides which value is last."""
-    path = scratch_path(spark, "trend")
-    sinks.write_results(_event_results(spark, sf, "event_id"), path, by_job=True, order_by=["event_id"])
-    chunks = trend(sources.results_csv(spark, path), ["job_id"])
+    rows = sources.rows_by_job(spark, _stored(spark, sf)).withColumn("job_id", F.col("job_id").cast("int"))
+    chunks = trend(rows, ["job_id"], seq_col="place")
     return chunks.withColumn("dt", format_timestamp(F.col("dt")))
 
 
@@ -167,9 +200,10 @@ def listing_scan(spark, sf):
     "SELECT 'c' || CAST(conv_id AS VARCHAR) AS job_id, text FROM conversations",
 )
 def staged_by_job(spark, sf):
+    """Staged rows of all jobs in clustered files."""
     root = scratch_path(spark, "staged")
-    sinks.stage_by_job(message_rows(spark, sf).select("job_config.job_id", "tweet.text"), root)
-    return spark.read.parquet(root).select("job_id", "text")
+    sinks.store_by_job(message_rows(spark, sf).select("job_config.job_id", "tweet.text"), root, [])
+    return sources.rows_by_job(spark, root).select("job_id", "text")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from moodtide.functions.jobkeys import decode_job_id, directory_of, job_id_of, name_of
@@ -17,12 +19,14 @@ from moodtide.operators.registry import (
     validate_requests,
 )
 from moodtide.operators.search import fan_out, in_language, match_phrases, search
+from moodtide.plans.batch import run_jobs
 from moodtide.plans.collecting import collect_tweets, recent_events
 from moodtide.queries.base import EVENT_JOBS_SQL, JOBS_SQL, TWEETS_SQL, documents, event_jobs, gate_words_sql, query, search_jobs, tweets
 from moodtide.session import scratch_path
 from moodtide.sinks import files as sinks
 from moodtide.sources import files as sources
 from moodtide.sources.files import table
+from moodtide.sources.objects import all_objects, object_contents, write_objects
 
 _PHRASE = "that"
 
@@ -238,6 +242,59 @@ def stored_statuses(spark, sf):
     return job_status(_known_jobs(spark, sf), spark.read.schema("path string").parquet(listed), sources.failures(spark, failed))
 
 
+@query("job_status_listed", f"SELECT * FROM {_STATUS_SQL}")
+def listed_statuses(spark, sf):
+    """The same from real objects below a folder: written by tasks, some markers by failing work, all listed by tasks."""
+    root = scratch_path(spark, "store")
+    found = event_jobs(spark, sf).select("job_id", "path", "event_type").distinct()
+    failing = found.where("event_type = 'error'").select("job_id").distinct()
+    # A few jobs fail on the driver; the markers of the others are written by the tasks.
+    few = [row["job_id"] for row in failing.orderBy("job_id").limit(5).collect()]
+    paths = found.where(~((F.col("event_type") == "error") & F.col("job_id").isin(few))).select("path").distinct()
+    write_objects(paths.select("path", F.lit("a line").alias("line")), root)
+    for job_id in few:
+        with contextlib.suppress(ZeroDivisionError):
+            sinks.marking_failure(root, job_id, lambda: 1 / 0)
+    return job_status(_known_jobs(spark, sf), all_objects(spark, root).select("path"))
+
+
+@query(
+    "batch_job_flow",
+    f"""SELECT j.job_id, CASE WHEN e.error IS NOT NULL OR t.n IS NULL THEN 'error' ELSE 'done' END AS status,
+               CASE WHEN e.error IS NULL AND t.n IS NOT NULL THEN t.n + 1 ELSE 0 END AS tweet_lines,
+               CASE WHEN e.error IS NULL THEN coalesce(t.n, 0) ELSE 0 END AS result_lines,
+               CASE WHEN e.error IS NOT NULL THEN e.error WHEN t.n IS NULL THEN 'No tweets were found.' END AS reason
+        FROM {JOBS_SQL} j
+        JOIN (SELECT job_id, CASE WHEN length(query) <= 3 THEN 'Word should have more than 4 characters.'
+                     WHEN NOT regexp_matches(query, '^[a-zA-Z\\d!\\s@#$^&*()_+"|}}{{?><~]*$') THEN 'String includes invalid characters.' END AS error
+              FROM {JOBS_SQL}) e USING (job_id)
+        LEFT JOIN (SELECT job_id, count(*) AS n FROM (SELECT job_id, {gate_words_sql('text')} AS w FROM ({FAN_OUT_SQL}))
+                   WHERE len(w) >= 5 GROUP BY job_id) t USING (job_id)""",
+)
+def batch_job_flow(spark, sf):
+    """Search jobs from request to stored results: states, and what lies in their objects."""
+    root = scratch_path(spark, "store")
+    # A word count stands in for the model: the lines do not depend on it.
+    def score(rows):
+        return rows.withColumn("prediction", F.when(F.length("text") % 2 == 0, 0.0).otherwise(4.0))
+
+    status = run_jobs(_searched(spark, sf), search_jobs(spark, sf), score, root, ["doc_id"])
+    contents = object_contents(spark, root).select(
+        job_id_of(F.col("path")).alias("job_id"), name_of(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("text")
+    )
+
+    def lines(name: str):
+        breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+        return F.coalesce(F.max(F.when(F.col("name") == name, breaks)), F.lit(0)).cast("bigint")
+
+    held = contents.groupBy("job_id").agg(
+        lines("tweets.csv").alias("tweet_lines"),
+        lines("results.csv").alias("result_lines"),
+        F.max(F.when(F.col("name") == "_error", F.rtrim(F.replace("text", F.lit("\n"), F.lit(" "))))).alias("reason"),
+    )
+    return status.join(held, "job_id").select("job_id", "status", "tweet_lines", "result_lines", "reason")
+
+
 def _requests(spark, sf):
     """One request per event and per conversation turn."""
     kind = F.when(F.col("event_type") == "view", "stream").otherwise("batch")

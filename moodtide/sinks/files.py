@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from moodtide.operators.records import result_lines, to_json_lines
 from moodtide.session import scratch_path
+from moodtide.operators.registry import ERROR_FILE
 from moodtide.sources.files import CSV_QUOTING, DEFAULT_MODEL_VERSION, model_path
+from moodtide.sources.objects import write_marker
 
 # Writers trim values by default.
 _CSV = {**CSV_QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -64,6 +66,39 @@ def write_results(
     writer.text(path)
 
 
+def store_by_job(rows: DataFrame, path: str, order_by: list[str]) -> None:
+    """Rows of many jobs in few files, with an index that tells the files of each job.
+
+    Rows are placed by ranges of job and order, so a file holds many small jobs
+    or a piece of a hot one, and the number of files follows the bytes and not the
+    jobs.  Column `place` numbers the rows in that order.
+    """
+    keys = ["job_id", *order_by]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed.withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    stored = rows.sparkSession.read.parquet(f"{path}/rows")
+    index = stored.groupBy("job_id", F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # Sorted by job, so that a lookup reads few row groups.
+    index.repartitionByRange("job_id").sortWithinPartitions("job_id").write.parquet(f"{path}/index")
+
+
+def store_results(predictions: DataFrame, path: str, order_by: list[str]) -> None:
+    """Results of many jobs by `store_by_job`; a missing time is spelled None."""
+    moment = F.coalesce(F.date_format("dt", "yyyy-MM-dd HH:mm:ss"), F.lit("None"))
+    store_by_job(predictions.withColumn("dt", moment), path, order_by)
+
+
+def export_results(results: DataFrame, path: str) -> None:
+    """`dt, prediction` lines of the given jobs, in their order, under one folder per job.
+
+    For the jobs that someone asked for; `store_results` holds all of them.
+    """
+    keys = ["job_id", "place"]
+    placed = results.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    line = F.concat(F.col("dt"), F.lit(", "), F.col("prediction").cast("string"))
+    placed.select("job_id", line.alias("value")).write.partitionBy("job_id").text(path)
+
+
 def write_messages(rows: DataFrame, path: str) -> None:
     """One JSON message per row."""
     to_json_lines(rows).write.text(path)
@@ -81,7 +116,7 @@ def store_jobs(jobs: DataFrame, *folders: str) -> None:
 
 
 def stage_by_job(rows: DataFrame, path: str) -> None:
-    """Copy rows next to the results of their job."""
+    """Copy rows into one folder per job, for few jobs; `store_by_job` takes any number."""
     _gathered(rows).write.mode("overwrite").partitionBy("job_id").parquet(path)
 
 
@@ -127,3 +162,12 @@ def recording_failure(
         marker = spark.createDataFrame([(job_id, str(error))], "job_id string, message string")
         store_failures(marker, errors_path)
         raise
+
+
+def marking_failure(root: str, job_id: str, work: Callable[[], Result]) -> Result:
+    """Run the work of a job; if it fails, leave an error marker in the job's folder and fail all the same."""
+    try:
+        return work()
+    except Exception as error:
+        write_marker(root, f"jobs/{job_id}/{ERROR_FILE}", str(error))
+        raise

@@ -116,6 +116,29 @@ def results_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Up to so many jobs are looked up in the index; for more, the rows are joined with the jobs.
+INDEXED_JOBS = 10_000
+
+
+def rows_by_job(spark: SparkSession, path: str, jobs: DataFrame | None = None) -> DataFrame:
+    """Rows of `sinks.files.store_by_job`: all, or those of some jobs (column `job_id`).
+
+    For some jobs only the files that the index names are opened, and in these the
+    row groups whose range of jobs fits.
+    """
+    rows = spark.read.parquet(f"{path}/rows")
+    if jobs is None:
+        return rows
+    wanted = jobs.select("job_id").distinct()
+    few = [row["job_id"] for row in wanted.limit(INDEXED_JOBS + 1).collect()]
+    if len(few) > INDEXED_JOBS:
+        return rows.join(wanted, "job_id", "left_semi")
+    index = spark.read.parquet(f"{path}/index").where(F.col("job_id").isin(few))
+    files = sorted(row["file"] for row in index.select("file").distinct().collect())
+    named = spark.read.schema(rows.schema).parquet(*[f"{path}/rows/{file}" for file in files]) if files else rows.limit(0)
+    return named.where(F.col("job_id").isin(few))
+
+
 def model_path(root: str, version: str = DEFAULT_MODEL_VERSION) -> str:
     return f"{root}/models/{version}/pipeline"
 

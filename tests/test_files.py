@@ -56,6 +56,49 @@ def test_result_order_survives_many_files(spark, tmp_path):
     assert ordered == sorted(ordered) and len(ordered) == 5000
 
 
+def test_clustered_results(spark, tmp_path):
+    path = str(tmp_path / "r")
+    job = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("j"), F.col("id") % 500))
+    moment = F.when(F.col("id") % 7 > 0, F.timestamp_seconds(F.col("id")))
+    rows = spark.range(0, 9000, 1, 6).select(job.alias("job_id"), "id", moment.alias("dt"), (F.col("id") % 2 * 4.0).alias("prediction"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        sinks.store_results(rows, path, ["id"])
+    finally:
+        for key in settings:
+            spark.conf.set(key, "true")
+    index = spark.read.parquet(f"{path}/index")
+    # Few files for many jobs, and several for the hot one.
+    assert index.select("file").distinct().count() <= 4 < index.select("job_id").distinct().count()
+    assert index.where("job_id = 'hot'").count() >= 2
+    assert index.agg(F.sum("rows")).first()[0] == 9000
+    back = [row["prediction"] for row in sources.rows_by_job(spark, path).where("job_id = 'hot'").orderBy("place").collect()]
+    assert back == [i % 2 * 4.0 for i in range(0, 9000, 3)]
+    asked = spark.createDataFrame([("j1",), ("j1",), ("j499",), ("unknown",)], "job_id string")
+    some = sources.rows_by_job(spark, path, asked)
+    assert {row["job_id"] for row in some.collect()} == {"j1", "j499"}
+    files = index.where("job_id IN ('j1', 'j499')").select("file").distinct().count()
+    assert len(some.inputFiles()) == files < index.select("file").distinct().count()
+    assert sources.rows_by_job(spark, path, asked.where("job_id = 'unknown'")).count() == 0
+    sinks.export_results(some, str(tmp_path / "e"))
+    lines = sources.results_csv(spark, str(tmp_path / "e")).where("job_id = 'j1'").orderBy("seq").collect()
+    expected = [i for i in range(9000) if i % 3 and i % 500 == 1]
+    assert [row["prediction"] for row in lines] == [i % 2 * 4.0 for i in expected]
+    assert [row["dt"] == "None" for row in lines] == [i % 7 == 0 for i in expected]
+
+
+def test_many_jobs_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "INDEXED_JOBS", 3)
+    path = str(tmp_path / "r")
+    rows = spark.range(100).select((F.col("id") % 20).alias("job_id"), "id", F.timestamp_seconds("id").alias("dt"), F.lit(4.0).alias("prediction"))
+    sinks.store_results(rows, path, ["id"])
+    asked = spark.range(5).withColumnRenamed("id", "job_id")
+    assert sources.rows_by_job(spark, path, asked).count() == 25
+    assert sources.rows_by_job(spark, path, asked.limit(2)).count() == 10
+
+
 def test_job_documents(spark, tmp_path):
     for job in ("a", "b"):
         folder = tmp_path / "jobs" / job
