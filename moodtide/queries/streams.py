@@ -13,6 +13,8 @@ from moodtide.sinks.files import write_messages
 from moodtide.sources.files import load_model, table
 from moodtide.sources.streams import message_files, table_files
 from moodtide.streaming import flows
+from moodtide.streaming.service import drained, supervise, with_progress
+from moodtide.streaming.windows import keep_windows, newest_windows, with_late_rows
 
 
 def _arriving(spark, sf):
@@ -160,3 +162,85 @@ def stream_fanout(spark, sf):
         flows.fan_out_stream(arriving, search_jobs(spark, sf), ["doc_id"], path, f"{path}-checkpoint", once=True)
     )
     return spark.read.parquet(path).select("tweet.text", "tweet.created_at", "job_config.job_id", "job_config.query")
+
+
+_HOUR_SQL = "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')"
+
+
+def _event_files(spark, sf, files, per_batch):
+    """Events in files that each span all times, so that later batches bring late rows."""
+    source = scratch_path(spark, "events")
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    events.repartition(files, F.col("event_id") % files).write.parquet(source)
+    return table_files(spark, source, events.schema, per_batch)
+
+
+@query(
+    "stream_window_state",
+    f"""SELECT {_HOUR_SQL} AS window_start, round(sum(value), 4) AS total, count(*) AS n,
+               (SELECT count(*) FROM events) AS all_rows, true AS some_late FROM events GROUP BY ALL""",
+)
+def stream_window_state(spark, sf):
+    """Hours kept in the state store: rows in time and late rows together are all rows."""
+    path = scratch_path(spark, "state")
+    arriving = _event_files(spark, sf, 6, 2)
+    flows.finish(keep_windows(arriving, "event_id", "ts", "value", "2 days", path, f"{path}-checkpoint", 3600, once=True))
+    windows, late = newest_windows(spark.read.parquet(f"{path}/windows")), spark.read.parquet(f"{path}/late")
+    counts = windows.agg(F.sum("n")).first()[0], late.count()
+    rows = with_late_rows(windows, late)
+    return rows.select(
+        format_timestamp(F.col("window_start")).alias("window_start"),
+        F.round("total", 4).alias("total"),
+        "n",
+        F.lit(sum(counts)).cast("bigint").alias("all_rows"),
+        F.lit(counts[1] > 0).alias("some_late"),
+    )
+
+
+@query("stream_restarted", "SELECT event_id, event_type, 1 AS restarts FROM events")
+def stream_restarted(spark, sf):
+    """A stream that runs on by the clock, fails in its second batch, and goes on from its checkpoint: each row once."""
+    path = scratch_path(spark, "restarted")
+    arriving = _event_files(spark, sf, 6, 2).select("event_id", "event_type")
+    failed = []
+
+    def write(batch, batch_id):
+        if batch_id == 1 and not failed:
+            # Half of the batch is there when the stream fails.
+            batch.where("event_id % 2 = 0").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            failed.append(batch_id)
+            raise RuntimeError("the second batch fails")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    def start():
+        writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint")
+        return writer.trigger(processingTime="200 milliseconds").start()
+
+    restarts = supervise(start, 3, drained)
+    return spark.read.parquet(path).select("event_id", "event_type", F.lit(restarts).alias("restarts"))
+
+
+@query(
+    "stream_progress",
+    """SELECT CAST(count(*) AS BIGINT) AS input_rows, CAST(count(*) AS DOUBLE) AS rows,
+              CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS purchases,
+              CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) AS errors, true AS several_batches FROM events""",
+)
+def stream_progress(spark, sf):
+    """Counters of each batch, kept by a listener, add up to the input."""
+    path = scratch_path(spark, "progress")
+    name = path.rsplit("/", 1)[-1]
+
+    def run(rows):
+        writer = rows.writeStream.queryName(name).format("parquet").option("path", f"{path}-rows")
+        return writer.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+
+    kind = F.col("event_type")
+    counters = {
+        "rows": F.count(F.lit(1)),
+        "purchases": F.count_if(kind == "purchase"),
+        "errors": F.count_if(kind == "error"),
+    }
+    progress = with_progress(_event_files(spark, sf, 6, 2), counters, run, path, name)
+    sums = [F.sum(F.col("metrics")[key]).alias(key) for key in counters]
+    return progress.agg(F.sum("input_rows").alias("input_rows"), *sums, (F.count(F.lit(1)) > 1).alias("several_batches"))

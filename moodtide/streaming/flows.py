@@ -57,22 +57,6 @@ def tag_window(rows: DataFrame, time_col: str, seconds: int = WINDOW_SECONDS) ->
     return rows.withColumn("window_start", F.timestamp_seconds(F.floor(epoch / seconds) * seconds))
 
 
-def windowed_sentiment(
-    rows: DataFrame, time_col: str, value_col: str, lateness: str, width: str = WINDOW
-) -> DataFrame:
-    """Mean and count per window, for inputs whose lateness is known: later rows are dropped.
-
-    `append_window_parts` drops nothing.
-    """
-    timed = rows.where(F.col(time_col).isNotNull()).withColumn("_at", F.col(time_col).cast("timestamp"))
-    return (
-        timed.withWatermark("_at", lateness)
-        .groupBy(F.window("_at", width).alias("window"))
-        .agg(F.avg(value_col).alias("mean_value"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("window_start"), "mean_value", "n")
-    )
-
-
 def _started(writer: DataStreamWriter, checkpoint: str, once: bool, interval: str) -> DataStreamWriter:
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
@@ -94,22 +78,6 @@ def append_to_table(
     return _started(writer, checkpoint, once, interval).toTable(table)
 
 
-def update_windows(
-    windows: DataFrame, path: str, checkpoint: str, once: bool = False, interval: str = WINDOW
-) -> StreamingQuery:
-    """Write every window a batch changed, marked with the batch.
-
-    Append mode would hold back the windows still open at the end; here a
-    reader takes the newest version of each window instead.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = windows.writeStream.outputMode("update").foreachBatch(write)
-    return _started(writer, checkpoint, once, interval).start()
-
-
 def append_window_parts(
     rows: DataFrame,
     time_col: str,
@@ -141,13 +109,6 @@ def merged_windows(parts: DataFrame) -> DataFrame:
     )
 
 
-def newest_windows(versions: DataFrame) -> DataFrame:
-    """The last written version of each window."""
-    return versions.groupBy("window_start").agg(
-        F.max_by("mean_value", "batch").alias("mean_value"), F.max_by("n", "batch").alias("n")
-    )
-
-
 def fan_out_stream(
     tweets: DataFrame,
     jobs: DataFrame,
