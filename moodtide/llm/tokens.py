@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,9 +22,10 @@ SEPARATOR = "^"
 class Encoder:
     """Ids of a text as little-endian 32-bit numbers.
 
-    The tokenizers at hand fold case and cut texts at white space, and letters
-    from punctuation, before anything else.  So a text is the sum of its parts
-    between spaces and line breaks, and the ids of a part are kept for the next time it comes.
+    A tokenizer that folds case and cuts texts at white space, and letters
+    from digits and from all else, before anything else gives a text the ids of its parts
+    between spaces and line breaks, and a part those of its runs.  Their ids are kept for the next time they come.  Any
+    other tokenizer is given whole texts.
     """
 
     # Bytes of known parts; the parts of the half filled before are still looked up.
@@ -33,6 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = _cuts_runs(json.loads(self.tokenizer.to_str()))
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -66,27 +70,47 @@ class Encoder:
                 self._keep(part, data[4 * start : 4 * end])
 
     def encode(self, text: str) -> bytes:
+        if not self.by_parts:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.replace("\n", " ").split(" ")
         new = self._find(set(parts))
         if new:
-            roots = {part: _root(part) for part in new}
-            unknown = self._find(set(roots.values()).union(".,"))
+            cut = {part: _runs(part) for part in new}
+            unknown = self._find({run for runs in cut.values() for run in runs})
             if unknown:
                 self._encode_parts(sorted(unknown))
-            for part, root in roots.items():
-                if part != root:
-                    tail = part[len(root) :]
-                    self._keep(part, self.known[root] + (self.known[tail] if tail else b""))
+            for part, runs in cut.items():
+                if part not in self.known:
+                    self._keep(part, b"".join(map(self.known.__getitem__, runs)))
         out = b"".join(map(self.known.__getitem__, parts))
         if self.held > self.MAX_HELD // 2:
             self.before, self.known, self.held = self.known, {}, 0
         return out
 
 
-def _root(part: str) -> str:
-    """What has the same ids but for a last full stop or comma: the part without it, and an ASCII part in lower case."""
-    core = part[:-1] if part[-1:] in (".", ",") and part[-2:-1].lower().isalpha() else part
-    return core.lower() if core.isascii() and "<|" not in core else core
+# Visible ASCII characters but the apostrophe, which may belong to the letters after it.
+_PLAIN = re.compile(r"[!-&(-~]+")
+_RUN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _runs(part: str) -> list[str]:
+    """Runs whose ids together are those of the part: of plain ones the letters, digits and other characters, in lower case."""
+    if "<|" in part:
+        return [part]
+    if _PLAIN.fullmatch(part):
+        return _RUN.findall(part.lower())
+    # Else only a last full stop or comma after a letter comes off.
+    ends = part[-1:] in (".", ",") and part[-2:-1].lower().isalpha()
+    core, tail = (part[:-1], [part[-1]]) if ends else (part, [])
+    return [core.lower() if core.isascii() else core, *tail]
+
+
+def _cuts_runs(described: dict) -> bool:
+    """Whether a tokenizer folds case and cuts letters, single digits and other characters apart."""
+    folds = [one.get("type") for one in (described.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (described.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = (cuts[0].get("pattern") or {}).get("Regex", "") if cuts else ""
+    return folds == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 @lru_cache(maxsize=2)

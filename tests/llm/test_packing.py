@@ -213,3 +213,18 @@ def test_sharding_odd_rows(odd, nothing, tmp_path):
     assert sharding.shard(nothing, 3, str(tmp_path / "b")).count() == 0
     sharding.write_shards(odd, sharding.stored_map(odd.sparkSession, str(tmp_path / "a"), 0), str(tmp_path / "c"))
     assert odd.sparkSession.read.parquet(str(tmp_path / "c")).count() == odd.count()
+
+
+def test_parts_are_cut_like_the_tokenizer_cuts(tokenizer):
+    parts = ["(word)", "a1b22", "Word;", "don't", "x.y,z", "...", "it's.", "^a", "a^", "A_b-C", "é.", "über,", "12.5%", "'tis", "<|endoftext|>x", "#$%"]
+    own = type(encoder(tokenizer_path()))(tokenizer_path())
+    for part in [*parts, " ".join(parts)]:
+        assert np.frombuffer(own.encode(part), "<u4").tolist() == tokenizer.encode(part, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_given_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, plain = type(encoder(tokenizer_path()))(path), Tokenizer.from_file(path)
+    assert not own.by_parts and encoder(tokenizer_path()).by_parts
+    text = "Hello  World, it's a  Test\n\nwith 123 Numbers "
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
