@@ -6,11 +6,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodtide.functions.cleaning import clean_text
 from moodtide.functions.stopped import STOP_WORDS
+from moodtide.functions.words import lower_tokens
+from moodtide.operators.features import all_ngrams, term_counts
 from moodtide.operators.metrics import accuracy, class_report, confusion
 from moodtide.operators.records import result_lines
-from moodtide.operators.splits import random_split, stable_split
+from moodtide.operators.splits import random_split, recode_label, stable_split
 from moodtide.plans.analysis import analyse_jobs
+from moodtide.plans.optimality import INTERCEPT, loss_gradient, stored_weights
 from moodtide.plans.scoring import predict, predict_elsewhere, predict_file
 from moodtide.plans.training import Settings, fit, train_and_store, unigram_stages
 from moodtide.queries.base import TWEET_TIME_SQL, clean_sql, documents, labelled, query, search_jobs, terms_sql, tokens_sql, tweets
@@ -58,6 +62,31 @@ def train_vocabulary(spark, sf):
     return _terms_of(spark, load_model(root))
 
 
+# The fit ends when a step improves the loss by less than a millionth; at sf0.01 the largest component is then 1e-9.
+_FLAT = 1e-6
+
+
+@query(
+    "fit_gradient",
+    f"""SELECT least(80000, (SELECT count(DISTINCT term) FROM
+                   {terms_sql(f"(SELECT doc_id, {tokens_sql(clean_sql('text'))} AS w FROM {_part_sql('train')})")})) AS terms,
+               (SELECT count(*) FROM {_part_sql('train')}) AS rows, true AS flat""",
+)
+def fit_gradient(spark, sf):
+    """Whether the gradient of the loss at the stored weights is flat, from term counts joined with the weights."""
+    root, _, _ = fitted(spark, sf)
+    train, _ = stable_split(labelled(spark, sf), "doc_id")
+    train = train.withColumnRenamed("doc_id", "row_id")
+    counts = term_counts(train, "row_id", all_ngrams(lower_tokens(clean_text(F.col("text")))))
+    labels = train.select("row_id", recode_label(F.col("sentiment")).alias("label"))
+    weights = stored_weights(load_model(root))
+    gradient = loss_gradient(sinks.keep(counts, "counts"), labels, spark.createDataFrame(weights, "term string, weight double"), len(weights))
+    rows = labels.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    return gradient.agg(
+        F.count_if(F.col("term") != INTERCEPT).alias("terms"), rows.alias("rows"), (F.max(F.abs("gradient")) < _FLAT).alias("flat")
+    )
+
+
 @query("held_out", f"SELECT doc_id, sentiment, true AS coded FROM {_part_sql('test')}")
 def held_out(spark, sf):
     """Stored held-out rows; every prediction is one of the two codes."""
