@@ -72,6 +72,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_parts:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if _LATIN.fullmatch(text) and "<|" not in text:
+            # Cut as the tokenizer cuts: few different runs, and no part is kept for itself.
+            runs = _LATIN_RUN.findall(text.lower())
+            new = self._find(set(runs))
+            if new:
+                self._encode_parts(sorted(new))
+            return self._turned(b"".join(map(self.known.__getitem__, runs)))
         parts = text.replace("\n", " ").split(" ")
         new = self._find(set(parts))
         if new:
@@ -82,12 +89,21 @@ class Encoder:
             for part, runs in cut.items():
                 if part not in self.known:
                     self._keep(part, b"".join(map(self.known.__getitem__, runs)))
-        out = b"".join(map(self.known.__getitem__, parts))
+        return self._turned(b"".join(map(self.known.__getitem__, parts)))
+
+    def _turned(self, out: bytes) -> bytes:
+        """Begins a new half when this one is full."""
         if self.held > self.MAX_HELD // 2:
             self.before, self.known, self.held = self.known, {}, 0
         return out
 
 
+# Texts of Latin letters up to U+017F, without control characters that count as white space in one place only, and without
+# the dotted capital I, which becomes two characters.  No character of these is changed by composition.
+_LATIN = re.compile("[\t\n\r -~\u00a0-\u012f\u0131-\u017f]*")
+# Letters and numbers of that range, in lower case; else the tokenizer's own pattern.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-\u024f", "0-9²³¹¼½¾"
+_LATIN_RUN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 # Visible ASCII characters but the apostrophe, which may belong to the letters after it.
 _PLAIN = re.compile(r"[!-&(-~]+")
 _RUN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")

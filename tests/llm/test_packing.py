@@ -222,6 +222,21 @@ def test_parts_are_cut_like_the_tokenizer_cuts(tokenizer):
         assert np.frombuffer(own.encode(part), "<u4").tolist() == tokenizer.encode(part, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F, exclude_characters="\x00"), max_size=40) | st.text(alphabet="ab's'tredvml. ^é²½ÀŸǅ\u00a0\t\n1", max_size=60))
+def test_latin_texts_agree(text):
+    test_latin_texts_agree.plain = getattr(test_latin_texts_agree, "plain", None) or Tokenizer.from_file(tokenizer_path())
+    ids = test_latin_texts_agree.plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(tokenizer_path()).encode(text), "<u4").tolist() == ids
+
+
+def test_every_latin_character_agrees(tokenizer):
+    own = encoder(tokenizer_path())
+    for code in range(1, 0x250):
+        text = f"a{chr(code)}b {chr(code)}{chr(code)} 1{chr(code)}."
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(code)
+
+
 def test_other_tokenizers_are_given_whole_texts():
     path = tokenizer_path("byte_bpe_50k.json")
     own, plain = type(encoder(tokenizer_path()))(path), Tokenizer.from_file(path)
