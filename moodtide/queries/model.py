@@ -14,8 +14,9 @@ from moodtide.operators.metrics import accuracy, class_report, confusion
 from moodtide.operators.records import result_lines
 from moodtide.operators.splits import random_split, recode_label, stable_split
 from moodtide.plans.analysis import analyse_jobs
+from moodtide.plans.foreign import LinearScorer, score_elsewhere, store_weights
 from moodtide.plans.optimality import INTERCEPT, loss_gradient, stored_weights
-from moodtide.plans.scoring import predict, predict_elsewhere, predict_file
+from moodtide.plans.scoring import predict, predict_file
 from moodtide.plans.training import Settings, fit, train_and_store, unigram_stages
 from moodtide.queries.base import TWEET_TIME_SQL, clean_sql, documents, labelled, query, search_jobs, terms_sql, tokens_sql, tweets
 from moodtide.session import scratch_path
@@ -264,14 +265,13 @@ def analysed(spark, sf):
     return analyse_jobs(found, search_jobs(spark, sf), load_model(root).transform, ["doc_id"])
 
 
-@query(
-    "predict_elsewhere",
-    "SELECT doc_id, (length(text) % 2 * 4)::DOUBLE AS prediction FROM documents",
-)
+@query("predict_elsewhere", "SELECT doc_id, true AS same FROM documents")
 def predicted_elsewhere(spark, sf):
-    """A foreign model per task, here a rule on the length of the text."""
-
-    def setup():
-        return lambda batch: batch.str.len() % 2 * 4
-
-    return predict_elsewhere(documents(spark, sf, "doc_id", "text"), setup).select("doc_id", "prediction")
+    """Every document by a scorer outside Spark, and whether it says what the stored model says."""
+    root, _, _ = fitted(spark, sf)
+    path = scratch_path(spark, "weights")
+    store_weights(spark, stored_weights(load_model(root)), path)
+    cleaned = tweets(spark, sf).select("doc_id", clean_text(F.col("text")).alias("text"))
+    found = score_elsewhere(cleaned, lambda: LinearScorer(path), "doc_id long, prediction double")
+    own = predict(tweets(spark, sf), load_model(root), ["doc_id"]).withColumnRenamed("prediction", "expected")
+    return own.join(found, "doc_id", "left").select("doc_id", F.col("prediction").eqNullSafe(F.col("expected")).alias("same"))
