@@ -88,6 +88,11 @@ def test_html(values):
     assert dict(zip(HTML, values(html_text, HTML))) == HTML
 
 
+def test_leading_zeros_of_numeric_references(values):
+    texts = ["&#x0000000000000041;", "&#X41;", "&#00000000000000065;", "&#x0;", "&#0;", "a&#x00e9;b", "&#xFFFFFFFFFFFF;", "&#x000000000001F600;"]
+    assert values(html_text, texts) == ["A", "A", "A", "", "", "aéb", "", "\U0001f600"]
+
+
 def test_named_references_match_the_standard_table(values):
     from html.entities import name2codepoint
 
