@@ -203,3 +203,14 @@ def test_scratch_falls_back_only_in_a_local_session():
 def test_scratch_paths_lie_in_the_configured_folder(spark):
     first, second = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
     assert first != second and first.startswith(session.shared_root(spark) + "/x-")
+
+
+def test_small_folders_are_written_by_many_tasks(spark, tmp_path):
+    """AQE would merge so few bytes into one task, which then makes all files one after the other."""
+    rows = spark.range(120).select((F.col("id") % 40).alias("folder"), F.col("id"))
+    for _ in range(2):
+        sinks.write_folders(rows, str(tmp_path / "out"), "parquet")
+    names = [file.name for file in (tmp_path / "out").glob("folder=*/part-*.parquet")]
+    assert len(names) == 80 and len({name.split("-")[1] for name in names}) > 4
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 240 and back.distinct().exceptAll(rows.select("id", F.col("folder").cast("int").alias("folder"))).count() == 0
