@@ -167,3 +167,19 @@ def test_stems_of_cleaned_texts(spark):
     stemmed = frame.select(stem_words(clean_text(F.col("text"))).alias("s"))
     assert [row["s"] for row in stemmed.collect()] == ["happili run"]
     assert stemmed.select(F.explode(F.split("s", " ")).alias("w")).groupBy("w").count().count() == 2
+
+
+def test_a_batch_is_stemmed_in_slices(spark):
+    """A worker holds few texts of a batch as Python strings; rows, order and nulls stay."""
+    import pyarrow as pa
+
+    from moodtide.functions.stemming import TEXTS_AT_ONCE, stem_words
+
+    texts = [None if i % 7 == 0 else f"running happily w{i}" for i in range(2 * TEXTS_AT_ONCE + 5)]
+    expected = [None if text is None else f"run happili {text.split()[2]}" for text in texts]
+    parts = list(stem_words.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [len(part) for part in parts] == [TEXTS_AT_ONCE, TEXTS_AT_ONCE, 5]
+    assert [text for part in parts for text in part.to_pylist()] == expected
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    rows = frame.select("i", stem_words("t").alias("s")).collect()
+    assert [row["s"] for row in sorted(rows)] == expected
