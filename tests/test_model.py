@@ -65,6 +65,19 @@ def test_variants(labelled):
     assert not any(" " in term or term == "this" for term in single.stages[-3].vocabulary)
 
 
+def test_vectors_are_computed_once(spark, labelled):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    fit(labelled.mapInPandas(count, labelled.schema), SMALL, unigram_stages(SMALL))
+    # The rows pass once for the counts of the terms and once for the vectors.
+    assert seen.value == 2 * 200
+
+
 def _messages(labelled):
     tweet = F.struct("text", F.lit("2021-02-02 09:17:35").alias("created_at"))
     job = F.struct(F.lit("j").alias("job_id"), F.lit("day").alias("query"), F.lit("2021-02-02 09:00:00").alias("created_at"))
