@@ -78,6 +78,19 @@ def test_vectors_are_computed_once(spark, labelled):
     assert seen.value == 2 * 200
 
 
+def test_texts_of_ngrams_are_cleaned_once(spark, labelled):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    model = fit(labelled.mapInPandas(count, labelled.schema), SMALL)
+    assert seen.value == 200
+    assert sorted(model.stages[-3].vocabulary) == sorted(fit(labelled, SMALL).stages[-3].vocabulary)
+
+
 def _messages(labelled):
     tweet = F.struct("text", F.lit("2021-02-02 09:17:35").alias("created_at"))
     job = F.struct(F.lit("j").alias("job_id"), F.lit("day").alias("query"), F.lit("2021-02-02 09:00:00").alias("created_at"))
