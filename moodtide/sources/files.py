@@ -12,6 +12,9 @@ from moodtide.schemas import JOB_META, RESULTS, TRAINING, TWEETS
 # Fixed value: the model version used when none is named.
 DEFAULT_MODEL_VERSION = "v5"
 
+# Spark's own bound for a split of a file.
+SPLIT_BYTES = 128 << 20
+
 # CSV writers double a quote inside a quoted field; Spark expects a backslash by default.
 CSV_QUOTING = {"quote": '"', "escape": '"'}
 
@@ -31,6 +34,16 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
     return df if splits >= cores else df.repartition(min(cores, splits * factor))
 
 
+def fewer_splits(df: DataFrame, most: int = SPLIT_BYTES) -> DataFrame:
+    """Stored rows in as few tasks as cores, or as many as keep each to `most` bytes; for what is passed many times.
+
+    A session may ask for small splits, and then the tasks, and what each sends the driver, grow with the rows.
+    """
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    held = files.agg(F.sum("file_size").alias("held")).first()["held"] or 0
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-held // most)))
+
+
 def tweets_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Collected tweets with a header.
 
