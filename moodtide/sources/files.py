@@ -35,7 +35,7 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
 
 
 def fewer_splits(df: DataFrame, most: int = SPLIT_BYTES) -> DataFrame:
-    """Stored rows in as few tasks as cores, or as many as keep each to `most` bytes; for what is passed many times.
+    """Stored rows in as few tasks as cores, or as many as give each `most` bytes on average; for what is passed many times.
 
     A session may ask for small splits, and then the tasks, and what each sends the driver, grow with the rows.
     """
